@@ -26,6 +26,7 @@ DAY = r"\d{1,2}[/.]\d{1,2}[/.]\d{4}"
 CARD = r"\d(?:[ -]?\d){12,18}"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{8,15}"
 SSN = r"\d{3}-\d{2}-\d{4}"
+SSN_VALID = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
 KEY = r"AKIA[0-9A-Z]{16}|(?<=[Tt]oken = \"|[Pp]assword=|[Ss]ecret=|[Tt]oken=)[0-9a-f]{8,64}"
 EDGE = r"(?<![A-Za-z0-9_])(?:{})(?![A-Za-z0-9_])"
 ANY = EDGE.format("|".join((EMAIL, IP, ISO, DAY, SSN, PHONE.replace(r"(?:\+\d{1,3}[ .-]?)?", r"(?:(?<!\d)\+\d{1,3}[ .-]?)?", 1), CARD, KEY)))
@@ -48,73 +49,82 @@ def feistel(left: Column, right: Column, a: Column | int, b: Column | int, key:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), turn)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: expressions that are named twice would be evaluated twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def digits(value: Column, key: str, kind: str) -> Column:
     """A string of 2 to 36 digits permuted among those of its length."""
     n = F.length(value)
     half = F.floor(n / 2).cast("int")
     power = lambda k: F.concat(F.lit("1"), F.repeat(F.lit("0"), k)).cast("long")
     out = feistel(F.substr(value, F.lit(1), half), F.substr(value, half + 1), power(half), power(n - half), key, kind)
-    return F.concat(F.lpad(out["l"].cast("string"), half, "0"), F.lpad(out["r"].cast("string"), n - half, "0"))
+    return let(out, lambda x: F.concat(F.lpad(x["l"].cast("string"), half, "0"), F.lpad(x["r"].cast("string"), n - half, "0")))
 
 
 def luhn_sum(value: Column) -> Column:
     """Sum of digits as the Luhn check counts them, the last one undoubled."""
-    places = F.sequence(F.lit(1), F.length(value))
-    digit = lambda i: F.substr(value, F.length(value) - i + 1, F.lit(1)).cast("int")
-    return F.aggregate(places, F.lit(0), lambda s, i: s + F.when(i % 2 == 1, digit(i)).otherwise(digit(i) * 2 - F.when(digit(i) > 4, 9).otherwise(0)))
+    places = F.filter(F.split(F.reverse(value), ""), lambda c: c != "")
+    return F.aggregate(F.transform(places, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.get(F.lit(DOUBLED), c.cast("int")))), F.lit(0), lambda s, x: s + x)
+
+
+DOUBLED = [2 * x - 9 * (x > 4) for x in range(10)]
 
 
 def _laid(m: Column, new: Column) -> Column:
     """Digits put in the places of those of m."""
     place = lambda i: F.length(_digits(F.substr(m, F.lit(1), i + 1)))
-    return F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(new, place(i), F.lit(1))).otherwise(c)), "")
+    return let(new, lambda v: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(v, place(i), F.lit(1))).otherwise(c)), ""))
 
 
 def _card(m: Column, key: str) -> Column:
-    d = _digits(m)
-    body = F.concat(F.substr(d, F.lit(1), F.lit(1)), digits(F.substr(d, F.lit(2), F.length(d) - 2), key, "card"))
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    return _laid(m, F.concat(body, check))
+    body = lambda d: F.concat(F.substr(d, F.lit(1), F.lit(1)), digits(F.substr(d, F.lit(2), F.length(d) - 2), key, "card"))
+    check = lambda x: F.concat(x, F.pmod(10 - luhn_sum(F.concat(x, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+    return _laid(m, let(let(_digits(m), body), check))
 
 
 def _phone(m: Column, key: str) -> Column:
-    d = _digits(m)
-    code = F.substr(d, F.lit(1), F.greatest(F.length(d) - 10, F.lit(0)))
-    last = F.substr(d, F.greatest(F.length(d) - 9, F.lit(1)))
-    area, line = F.substr(last, F.lit(1), F.lit(3)).cast("long"), F.substr(last, F.lit(4), F.lit(7)).cast("long")
-    out = feistel(area - 200, line - 2_000_000, 800, 8_000_000, key, "phone")
-    plan = F.concat(code, (out["l"] + 200).cast("string"), (out["r"] + 2_000_000).cast("string"))
-    free = F.concat(F.substr(d, F.lit(1), F.lit(2)), digits(F.substr(d, F.lit(3)), key, "line"))
-    return _laid(m, F.when((F.length(last) == 10) & (area >= 200) & (line >= 2_000_000), plan).otherwise(free))
+    def new(d: Column) -> Column:
+        code = F.substr(d, F.lit(1), F.greatest(F.length(d) - 10, F.lit(0)))
+        last = F.substr(d, F.greatest(F.length(d) - 9, F.lit(1)))
+        area, line = F.substr(last, F.lit(1), F.lit(3)).cast("long"), F.substr(last, F.lit(4), F.lit(7)).cast("long")
+        plan = let(feistel(area - 200, line - 2_000_000, 800, 8_000_000, key, "phone"), lambda out: F.concat(code, (out["l"] + 200).cast("string"), (out["r"] + 2_000_000).cast("string")))
+        free = F.concat(F.substr(d, F.lit(1), F.lit(2)), digits(F.substr(d, F.lit(3)), key, "line"))
+        return F.when((F.length(d) >= 10) & last.rlike("^[2-9].{2}[2-9]"), plan).otherwise(free)
+
+    return _laid(m, let(_digits(m), new))
 
 
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.split_part(m, F.lit("-"), F.lit(i)).cast("long") for i in (1, 2, 3))
     out = feistel(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
-    new = out["l"] + 1
-    new = new + F.when(new >= 666, 1).otherwise(0)
-    return F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((F.floor(out["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((out["r"] % 9999 + 1).cast("string"), 4, "0"))
+    first = lambda x: x["l"] + 1 + F.when(x["l"] + 1 >= 666, 1).otherwise(0)
+    return let(out, lambda x: F.concat_ws("-", F.lpad(first(x).cast("string"), 3, "0"), F.lpad((F.floor(x["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((x["r"] % 9999 + 1).cast("string"), 4, "0")))
 
 
 def _ip(m: Column, key: str) -> Column:
     o = [F.split_part(m, F.lit("."), F.lit(i)).cast("long") for i in (1, 2, 3, 4)]
     out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
-    return F.concat_ws(".", *(x.cast("string") for part in ("l", "r") for x in (F.floor(out[part] / 256), out[part] % 256)))
+    return let(out, lambda v: F.concat_ws(".", *(x.cast("string") for part in ("l", "r") for x in (F.floor(v[part] / 256), v[part] % 256))))
 
 
 def _day_of(m: Column) -> Column:
     """The day that m notes: year first, or day and month where only that reads, else month and day; null if none."""
-    parts = [F.regexp_extract(m, r"^(\d+)\D(\d+)\D(\d+)$", i).cast("int") for i in (1, 2, 3)]
-    day = F.when(_whole(m, ISO), F.struct(parts[0].alias("y"), parts[1].alias("m"), parts[2].alias("d"))).when((parts[0] > 12) | m.contains("."), F.struct(parts[2].alias("y"), parts[1].alias("m"), parts[0].alias("d"))).otherwise(F.struct(parts[2].alias("y"), parts[0].alias("m"), parts[1].alias("d")))
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", day["y"], day["m"], day["d"]), "yyyy-MM-dd")
+    def day(p: Column) -> Column:
+        a, b, c = (F.try_element_at(p, F.lit(i)) for i in (1, 2, 3))
+        iso = F.when(F.length(a) == 4, F.concat_ws("-", a, b, c)).when((a.try_cast("int") > 12) | m.contains("."), F.concat_ws("-", c, F.lpad(b, 2, "0"), F.lpad(a, 2, "0"))).otherwise(F.concat_ws("-", c, F.lpad(a, 2, "0"), F.lpad(b, 2, "0")))
+        return F.try_to_date(iso, "yyyy-MM-dd")
+
+    return let(F.split(m, r"[-./]"), day)
 
 
 def _date(m: Column, key: str) -> Column:
     at = F.datediff(_day_of(m), F.lit(START).cast("date"))
-    out = feistel(F.floor(at / DAYS[1]), at % DAYS[1], *DAYS, key, "date")
-    new = F.date_add(F.lit(START).cast("date"), (out["l"] * DAYS[1] + out["r"]).cast("int"))
     first = F.regexp_extract(m, r"^(\d+)", 1).cast("int")
-    return F.when(_whole(m, ISO), F.date_format(new, "yyyy-MM-dd")).when(m.contains("."), F.date_format(new, "dd.MM.yyyy")).when(first > 12, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
+    days = lambda x: F.date_add(F.lit(START).cast("date"), (x["l"] * DAYS[1] + x["r"]).cast("int"))
+    shown = lambda new: F.when(_whole(m, ISO), F.date_format(new, "yyyy-MM-dd")).when(m.contains("."), F.date_format(new, "dd.MM.yyyy")).when(first > 12, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
+    return let(let(let(at, lambda n: feistel(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key, "date")), days), shown)
 
 
 def _token(m: Column, key: str) -> Column:
@@ -123,29 +133,26 @@ def _token(m: Column, key: str) -> Column:
 
 def kind_of(m: Column) -> Column:
     """The validated kind of a match, or null."""
-    octet = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
-    area, group, serial = (F.split_part(m, F.lit("-"), F.lit(i)).cast("int") for i in (1, 2, 3))
-    year = F.year(_day_of(m))
-    d = _digits(m)
+    octet = F.forall(F.split(m, r"\."), lambda x: x.try_cast("int") <= 255)
     return (
-        F.when(_whole(m, EMAIL), "email").when(_whole(m, IP), F.when(octet, "ip"))
-        .when(_whole(m, f"{ISO}|{DAY}"), F.when(year.between(1800, 2199), "date"))
-        .when(_whole(m, SSN), F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), "ssn"))
-        .when(_whole(m, PHONE), "phone").when(_whole(m, KEY.split("|")[0]), "key")
-        .when(_whole(m, CARD), F.when((F.length(d).between(13, 19)) & (luhn_sum(d) % 10 == 0), "card").when(m.rlike(r"^[0-9a-f]+$") & F.lit(False), "key"))
-        .when(m.rlike(r"^[0-9a-f]{8,64}$"), "key")
+        F.when(m.contains("@"), "email").when(_whole(m, IP), F.when(octet, "ip"))
+        .when(_whole(m, f"{ISO}|{DAY}"), F.when(F.year(_day_of(m)).between(1800, 2199), "date"))
+        .when(_whole(m, SSN), F.when(_whole(m, SSN_VALID), "ssn"))
+        .when(_whole(m, PHONE), "phone")
+        .when(_whole(m, CARD), let(_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, "card")))
+        .when(_whole(m, "AKIA[0-9A-Z]{16}|[0-9a-f]{8,64}"), "key")
     )
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: str, kind: Column | None = None) -> Column:
     """The pseudonym of one match; one that fails validation stays as it is."""
-    kind, token = kind_of(m), _token(m, key)
-    email = F.concat(F.substring(token, 1, 12), F.lit("@"), F.substring_index(m, "@", -1))
-    secret = F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(token, 1, 16)))).otherwise(F.substr(token, F.lit(1), F.length(m)))
-    return (
-        F.when(kind == "email", email).when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "ssn", _ssn(m, key))
-        .when(kind == "phone", _phone(m, key)).when(kind == "card", _card(m, key)).when(kind == "key", secret).otherwise(m)
+    email = F.concat(F.substring(_token(m, key), 1, 12), F.lit("@"), F.substring_index(m, "@", -1))
+    secret = F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(F.substring(_token(m, key), 1, 16)))).otherwise(F.substr(_token(m, key), F.lit(1), F.length(m)))
+    new = lambda k: (
+        F.when(k == "email", email).when(k == "ip", _ip(m, key)).when(k == "date", _date(m, key)).when(k == "ssn", _ssn(m, key))
+        .when(k == "phone", _phone(m, key)).when(k == "card", _card(m, key)).when(k == "key", secret).otherwise(m)
     )
+    return let(kind_of(m), new) if kind is None else new(kind)
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -153,9 +160,10 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     t = F.col(text)
     found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     step = docs.drop("n_private", "private_kinds").withColumn("_found", found)
-    step = step.withColumn("_new", F.transform("_found", lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, key).alias("value"))))
+    step = step.withColumn("_kinds", F.transform("_found", kind_of))
+    step = step.withColumn("_new", F.zip_with("_found", "_kinds", lambda m, k: pseudonym(m, key, k)))
     pieces = F.split(t, ANY, -1)
-    woven = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_new"), i)["value"], F.lit("")))), "")
-    kinds = F.filter(F.transform("_new", lambda x: x["kind"]), lambda x: x.isNotNull())
+    woven = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
+    kinds = F.filter("_kinds", lambda x: x.isNotNull())
     out = step.withColumn(text, F.when(F.size("_found") > 0, woven).otherwise(t)).withColumn("n_private", F.size(kinds).cast("long")).withColumn("private_kinds", F.array_join(F.array_sort(F.array_distinct(kinds)), ","))
-    return out.drop("_found", "_new")
+    return out.drop("_found", "_kinds", "_new")
