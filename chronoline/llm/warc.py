@@ -31,10 +31,11 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def surt(url: str | None) -> str:
-    """A sort key: the host's labels reversed, then port, path and query; scheme, user, leading www and fragment dropped."""
+    """A sort key: the host's labels reversed, then port, path and query; scheme, user, leading www and fragment dropped, spaces and control characters escaped."""
     m = re.match(r"(?:[a-zA-Z][\w+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)(:\d+)?([^#]*)", url or "")
     host = re.sub(r"^www\d*\.", "", m.group(1).lower())
-    return ",".join(reversed(host.split("."))) + (m.group(2) or "") + ")" + (m.group(3).lower() or "/")
+    key = ",".join(reversed(host.split("."))) + (m.group(2) or "") + ")" + (m.group(3).lower() or "/")
+    return re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c.group(0)):02x}", key)
 
 
 def key_of(url: str | None, page_id: int | None) -> str:
