@@ -5,7 +5,7 @@ table keys are all pairs of one collision from either, so 2 x SIDE x HALF minhas
 2 x HALF values. At a similarity of 0.75 a pair shares no table with probability under 0.003, at 0.85 under 2e-5.
 
 Documents of equal shingle sets collapse to one class first (a third of all rows may be one copy). In each table
-bucket every member is paired with the bucket's least and one random member, never with all; candidate pairs whose
+bucket every member is paired with the bucket's least and greatest member, never with all; candidate pairs whose
 32 minhash values agree in fewer than FLOOR places are dropped (at 0.75 a chance of 1e-6), the others are confirmed on
 full sets. Then buckets that still hold several components are paired again, component by component, until no
 untested pair leads to a new link.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, Powers, chunks, connected_components, drop_settled, mix64, settle, text_bytes
+from chronoline.llm.shared import MIX, Powers, chunks, connected_components, mix64, release, settle, text_bytes
 
 POWERS = Powers(0x9E3779B97F4A7C15)
 SIDE, HALF, FLOOR = 8, 2, 10
@@ -110,15 +110,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str
     classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = settle(filled.join(classes, (filled.doc_id == classes.rep) & (filled.h1 == classes.h1) & (filled.h2 == classes.h2), "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "mins"))
     keyed = reps.select("doc_id", F.explode(_keys(F.col("mins"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))).alias("any"), F.count("*").alias("n")).where("n > 1")
-    members = settle(keyed.join(buckets.select("key", "low", F.col("any.d").alias("any")), "key"))
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    members = settle(keyed.join(buckets, "key"))
+    release(docs.sparkSession)
     ends = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.select(F.explode(F.array(ends(F.col("doc_id"), F.col("low")), ends(F.col("doc_id"), F.col("any")))).alias("e")).select("e.*").where("a <> b").distinct()
+    pairs = members.select(F.explode(F.array(ends(F.col("doc_id"), F.col("low")), ends(F.col("doc_id"), F.col("high")))).alias("e")).select("e.*").where("a <> b").distinct()
     tested = links = None
     while True:
-        near = _agreeing(pairs, reps)
-        near = settle(near)
+        near = settle(_agreeing(pairs, reps))
         found = settle(_confirm(near, source, percent, width))
+        release(docs.sparkSession)
         fresh = found.count()
         tested = near if tested is None else tested.union(near)
         links = found if links is None else links.union(found)
