@@ -4,10 +4,11 @@ Two collections of SIDE small hash collisions (HALF minhash values each) are com
 table keys are all pairs of one collision from either, so 2 x SIDE x HALF minhash values serve SIDE^2 tables of
 2 x HALF values. At a similarity of 0.75 a pair shares no table with probability under 0.003, at 0.85 under 2e-5.
 
-Documents of equal shingle sets collapse to one class first (a third of all rows may be one copy). In each table
-bucket every member is paired with the bucket's least and greatest member, never with all; candidate pairs whose
-32 minhash values agree in fewer than FLOOR places are dropped (at 0.75 a chance of 1e-6), the others are confirmed on
-full sets. Then buckets that still hold several components are paired again, component by component, until no
+Documents of equal shingle sets collapse to one class first (a third of all rows may be one copy). Table keys are
+formed only of collisions that two classes share: a key that two classes share needs both. In each table bucket every
+member is paired with the bucket's least and greatest member, never with all; candidate pairs whose 32 minhash values
+agree in fewer than FLOOR places (by their low 16 bits) are dropped (at 0.75 a chance of 1e-6), the others are
+confirmed on full sets, which are built where a pair is tested from compressed texts. Then buckets that still hold several components are paired again, component by component, until no
 untested pair leads to a new link.
 
 A null or empty text, or one without words, has an empty set and links with nothing. Texts of under five words are one
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, Powers, chunks, connected_components, mix64, release, settle, text_bytes
+from chronoline.llm.shared import MIX, Powers, chunks, connected_components, drop_settled, mix64, release, settle, text_bytes
 
 POWERS = Powers(0x9E3779B97F4A7C15)
 SIDE, HALF, FLOOR = 8, 2, 10
@@ -71,6 +73,19 @@ def signatures(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
+def collisions(mins: np.ndarray) -> np.ndarray:
+    """Hashes of the 2 x SIDE small collisions of each row; the lowest bit names the collection."""
+    m = mins.view(np.uint64).reshape(len(mins), 2 * SIDE, HALF)
+    h = np.broadcast_to(mix64(np.arange(1, 2 * SIDE + 1, dtype=np.uint64) * MIX), m.shape[:2])
+    for k in range(HALF):
+        h = mix64((h ^ m[:, :, k]) * np.uint64(0xD6E8FEB86659FD93) + MIX)
+    return ((h & ~np.uint64(1)) | (np.arange(2 * SIDE) >= SIDE).astype(np.uint64)).view(np.int64)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
+
+
 def _sign(width: int):
     def run(batches):
         for batch in batches:
@@ -80,45 +95,71 @@ def _sign(width: int):
                 mins = signatures(sets, cuts)
                 sums = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum(np.stack([mix64(sets + MIX), mix64(sets ^ MIX)]), axis=1)], axis=1)
                 total = sums[:, cuts[1:]] - sums[:, cuts[:-1]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(cuts)), *(pa.array(x.view(np.int64)) for x in total), pa.ListArray.from_arrays(pa.array(np.arange(0, mins.size + 1, mins.shape[1], dtype=np.int32)), pa.array(mins.ravel()))], names=["doc_id", "n_shingles", "h1", "h2", "mins"])
+                arrays = [pa.array(np.diff(cuts)), *(pa.array(x.view(np.int64)) for x in total), _lists(collisions(mins)), _lists(mins.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays], names=["doc_id", "n_shingles", "h1", "h2", "halves", "sketch"])
 
     return run
 
 
-def _sets(width: int):
+def _pack(batches):
+    """Texts compressed one by one: less than half of what a shuffle of texts would move, a quarter of their sets."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        raw, offsets = text_bytes(batch.column(1))
+        cuts = offsets.tolist()
+        view = memoryview(raw)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(view[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", "packed"])
+
+
+def _test(percent: int, width: int):
+    """Pairs (a, b) whose packed texts meet the similarity on their full shingle sets."""
+
     def run(batches):
+        widen = zstandard.ZstdDecompressor()
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            for i, j in chunks(offsets, 1 << 21):
-                sets, cuts = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
+            packed = [x for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) for x in pair]
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = np.array([len(x) for x in packed], np.int64)
+            for i, j in chunks(np.concatenate([[0], np.cumsum(sizes[::2] + sizes[1::2])]), 1 << 20):
+                texts = [widen.decompress(x) for x in packed[2 * i : 2 * j]]
+                sets, cuts = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64), width)
+                cuts = cuts.tolist()
+                for k in range(j - i):
+                    both = np.sort(sets[cuts[2 * k] : cuts[2 * k + 2]], kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep[i + k] = common > 0 and 100 * common >= percent * (len(both) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _keys(mins: Column) -> Column:
-    """All SIDE^2 table keys: pairs of a collision of the first collection with one of the second."""
-    half = lambda side: F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.xxhash64(F.lit(side), i, F.slice(mins, side * SIDE * HALF + i * HALF + 1, HALF)))
-    return F.flatten(F.transform(half(0), lambda x: F.transform(half(1), lambda y: F.xxhash64(x, y))))
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: documents linked by 100 x intersection >= percent x union."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = settle(source.mapInArrow(_sign(width), "doc_id long, n_shingles long, h1 long, h2 long, mins array<long>"))
+    signed = settle(source.mapInArrow(_sign(width), "doc_id long, n_shingles long, h1 long, h2 long, halves array<long>, sketch array<short>"))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = settle(filled.join(classes, (filled.doc_id == classes.rep) & (filled.h1 == classes.h1) & (filled.h2 == classes.h2), "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "mins"))
-    keyed = reps.select("doc_id", F.explode(_keys(F.col("mins"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    reps = settle(filled.join(classes, (filled.doc_id == classes.rep) & (filled.h1 == classes.h1) & (filled.h2 == classes.h2), "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "halves", "sketch"))
+    single = reps.select("doc_id", F.explode("halves").alias("half"))
+    shared = settle(single.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("half"))
+    release(docs.sparkSession)
+    sides = settle(single.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_list("half").alias("halves")))
+    drop_settled(shared)
+    release(docs.sparkSession)
+    side = lambda k: F.filter("halves", lambda x: x.bitwiseAND(F.lit(1)) == k)
+    keyed = sides.select("doc_id", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
+    buckets = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
+    release(docs.sparkSession)
     members = settle(keyed.join(buckets, "key"))
+    drop_settled(sides)
+    drop_settled(buckets)
     release(docs.sparkSession)
     ends = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = members.select(F.explode(F.array(ends(F.col("doc_id"), F.col("low")), ends(F.col("doc_id"), F.col("high")))).alias("e")).select("e.*").where("a <> b").distinct()
     tested = links = None
     while True:
         near = settle(_agreeing(pairs, reps))
-        found = settle(_confirm(near, source, percent, width))
+        found = _confirm(near, source, percent, width)
         release(docs.sparkSession)
         fresh = found.count()
         tested = near if tested is None else tested.union(near)
@@ -141,15 +182,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs whose minhash values agree in FLOOR places or more."""
-    a, b = reps.select(F.col("doc_id").alias("a"), F.col("mins").alias("x")), reps.select(F.col("doc_id").alias("b"), F.col("mins").alias("y"))
+    a, b = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
     same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return pairs.join(a, "a").join(b, "b").where(same >= FLOOR).select("a", "b")
 
 
 def _confirm(pairs: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs that meet the similarity on their full shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = settle(source.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").where("doc_id is not null").dropDuplicates(["doc_id"]))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    """Pairs that meet the similarity on their full shingle sets. Ids are settled first: their size is then known to the
+    planner, which broadcasts them if they are few (the session's limit) and else shuffles the compressed texts."""
+    spark = pairs.sparkSession
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = settle(source.where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    release(spark)
+    x, y = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
+    found = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_test(percent, width), "a long, b long"))
+    drop_settled(texts)
+    drop_settled(ids)
+    return found
