@@ -86,9 +86,10 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("one_task", [shared.ONE_TASK, 0])
+def test_components_of_long_chains(spark, one_task):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 500), (1000, 700)] + [(2000, 2001 + i) for i in range(50)]
-    got = {r[0]: r[1] for r in shared.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    got = {r[0]: r[1] for r in shared.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7), one_task).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[1000] == got[700] == 500 and got[2050] == 2000
 
 
