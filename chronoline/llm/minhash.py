@@ -156,15 +156,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str
     release(docs.sparkSession)
     ends = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = members.select(F.explode(F.array(ends(F.col("doc_id"), F.col("low")), ends(F.col("doc_id"), F.col("high")))).alias("e")).select("e.*").where("a <> b").distinct()
-    tested, parts = None, docs.sparkSession.createDataFrame([], "node long, component long")
+    spent, tested, parts = [reps, members], None, docs.sparkSession.createDataFrame([], "node long, component long")
     while True:
         near = settle(_agreeing(pairs, reps))
         found = _confirm(near, source, percent, width)
         release(docs.sparkSession)
         fresh = found.count()
+        spent += [near, found]
         tested = near if tested is None else tested.union(near)
         if fresh == 0:
             break
+        spent.append(parts)
         parts = connected_components(parts.toDF("a", "b").union(found))
         # buckets that still hold several components: the least member of each, against the bucket's least component
         named = members.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -173,6 +175,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str
         again = apart.join(heads, "key").where("component <> head.component")
         pairs = again.select(F.explode(F.array(ends(F.col("first"), F.col("head.last")), ends(F.col("last"), F.col("head.first")))).alias("e")).select("e.*").where("a <> b").distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    for table in spent:
+        drop_settled(table)
     own = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").join(parts, F.col("rep") == F.col("node"), "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
