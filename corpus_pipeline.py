@@ -19,9 +19,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of least doc_id; documents without words all stay."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs.doc_id.cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    # one shuffle by doc_id serves the join and the removal of repeated rows; rows without an id need no join
+    named = hashed.join(kept, hashed.doc_id == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "_h"])
+    return named.unionByName(hashed.where("doc_id is null").dropDuplicates(["_h"])).drop("_h")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
