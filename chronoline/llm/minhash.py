@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, Powers, chunks, connected_components, drop_settled, mix64, release, settle, text_bytes
+from chronoline.llm.shared import MIX, Powers, chunks, connected_components, drop_settled, frugal, mix64, release, settle, text_bytes
 
 POWERS = Powers(0x9E3779B97F4A7C15)
 SIDE, HALF, FLOOR = 8, 2, 10
@@ -90,7 +90,7 @@ def _sign(width: int):
     def run(batches):
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for i, j in chunks(offsets, 1 << 21):
+            for i, j in chunks(offsets, 1 << 19):
                 sets, cuts = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 mins = signatures(sets, cuts)
                 sums = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum(np.stack([mix64(sets + MIX), mix64(sets ^ MIX)]), axis=1)], axis=1)
@@ -98,7 +98,7 @@ def _sign(width: int):
                 arrays = [pa.array(np.diff(cuts)), *(pa.array(x.view(np.int64)) for x in total), _lists(collisions(mins)), _lists(mins.astype(np.int16))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *arrays], names=["doc_id", "n_shingles", "h1", "h2", "halves", "sketch"])
 
-    return run
+    return frugal(run)
 
 
 def _pack(batches):
@@ -120,7 +120,7 @@ def _test(percent: int, width: int):
             packed = [x for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) for x in pair]
             keep = np.zeros(batch.num_rows, bool)
             sizes = np.array([len(x) for x in packed], np.int64)
-            for i, j in chunks(np.concatenate([[0], np.cumsum(sizes[::2] + sizes[1::2])]), 1 << 20):
+            for i, j in chunks(np.concatenate([[0], np.cumsum(sizes[::2] + sizes[1::2])]), 1 << 19):
                 texts = [widen.decompress(x) for x in packed[2 * i : 2 * j]]
                 sets, cuts = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64), width)
                 cuts = cuts.tolist()
@@ -130,7 +130,7 @@ def _test(percent: int, width: int):
                     keep[i + k] = common > 0 and 100 * common >= percent * (len(both) - common)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
-    return run
+    return frugal(run)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,7 +194,7 @@ def _confirm(pairs: DataFrame, source: DataFrame, percent: int, width: int) -> D
     planner, which broadcasts them if they are few (the session's limit) and else shuffles the compressed texts."""
     spark = pairs.sparkSession
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = settle(source.where("doc_id is not null").mapInArrow(_pack, "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = settle(source.where("doc_id is not null").mapInArrow(frugal(_pack), "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     release(spark)
     x, y = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
     found = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_test(percent, width), "a long, b long"))

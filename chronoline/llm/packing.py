@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoline.llm.bpe import Merges
-from chronoline.llm.shared import chunks, settle, text_bytes
+from chronoline.llm.shared import chunks, frugal, settle, text_bytes
 from chronoline.llm.words import WordTable, code_points, odd_rows, split
 
 NODE, FAN, CARRY, SLACK = 16_384, 8, 4_096, 8
@@ -93,7 +93,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end: int = 0, key: st
             raw, offsets = text_bytes(batch.column(1))
             keys = batch.column(0).to_pylist()
             out = []
-            for i, j in chunks(offsets, 1 << 21):
+            for i, j in chunks(offsets, 1 << 19):
                 for k, ids in enumerate(encoder(path).encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), i):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for p, s in enumerate(range(0, len(ids), capacity)):
@@ -102,7 +102,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end: int = 0, key: st
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECE)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), PIECE)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:

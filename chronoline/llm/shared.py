@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -92,6 +93,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def frugal(run):
+    """run over batches, after which freed memory goes back to the system: workers are reused and wait between tasks."""
+
+    def both(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return both
+
+
 def chunks(offsets: np.ndarray, most: int):
     """Ranges of rows of about `most` bytes; a longer row stands alone, whole."""
     i, n = 0, len(offsets) - 1

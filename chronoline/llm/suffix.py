@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, Powers, chunks, mix64, ragged_take, release, settle, text_bytes
+from chronoline.llm.shared import MIX, Powers, chunks, frugal, mix64, ragged_take, release, settle, text_bytes
 
 POWERS = Powers(0xC2B2AE3D27D4EB4F)
 GRAMS, MOST, BATCH, STEP = (100, 150, 180, 195), 64, 1_500_000, 1 << 18
@@ -301,7 +301,7 @@ def _judge(length: int):
 
 def _judged(runs: DataFrame, length: int) -> DataFrame:
     """(anchor, body, hits) of the distinct runs (anchor, body, bytes), all of an anchor in one partition and in order."""
-    return runs.select("anchor", "body", "bytes").repartition("anchor").sortWithinPartitions("anchor", "body").mapInArrow(_judge(length), "anchor long, body long, hits binary")
+    return runs.select("anchor", "body", "bytes").repartition("anchor").sortWithinPartitions("anchor", "body").mapInArrow(frugal(_judge(length)), "anchor long, body long, hits binary")
 
 
 def _verdicts(sized: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
@@ -317,7 +317,7 @@ def _verdicts(sized: DataFrame, length: int, grams: tuple[int, ...]) -> DataFram
     schema = "top long, whole long, at int, run int, anchor long, body long, bytes binary"
     found = None
     for gram in (*grams, length):
-        cut = settle(parts.mapInArrow(_recut(length, gram), schema))
+        cut = settle(parts.mapInArrow(frugal(_recut(length, gram)), schema))
         counted = cut.groupBy("anchor").agg(F.count("*").alias("many"))
         cut = settle(cut.join(counted.where("many > 1").drop("many"), "anchor"))
         own = cut.groupBy("anchor", "body").agg(F.count("*").alias("many"), F.min("run").alias("run"), F.min("bytes").alias("bytes"))
@@ -395,8 +395,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     # rows that are equal in all columns share an identity: their spans are the same
     source = docs.select(F.xxhash64(F.to_json(row), F.coalesce(F.col(text), F.lit(""))).alias("rid"), F.col(text).alias("text"), row.alias("row"))
     texts = source.select("rid", "text")
-    anchors = texts.mapInArrow(_runs(length, GRAMS[0], "anchor"), "anchor long").groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor")
-    runs = texts.mapInArrow(_runs(length, GRAMS[0], "all"), "anchor long, rid long, start int, run int, body long")
+    anchors = texts.mapInArrow(frugal(_runs(length, GRAMS[0], "anchor")), "anchor long").groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor")
+    runs = texts.mapInArrow(frugal(_runs(length, GRAMS[0], "all")), "anchor long, rid long, start int, run int, body long")
     runs = settle(runs.join(anchors, "anchor"))
     release(spark)
     distinct = runs.groupBy("anchor", "body").agg(F.count("*").alias("many"), F.min(F.struct("rid", "start", "run")).alias("one"))
@@ -412,5 +412,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     span = F.struct("start", "run", F.when(F.col("many") == 1, F.coalesce("hits", F.lit(b""))).alias("hits"))
     lists = runs.join(known, ["anchor", "body"], "left").select("rid", span.alias("s")).where("s.hits is null or hex(s.hits) rlike '[1-9A-F]'").groupBy("rid").agg(F.collect_set("s").alias("spans"))
     schema = source.select("row", "text").withColumns({c: F.lit(0).cast("long") for c in ADDED[:3]} | {c: F.lit(None).cast("string") for c in ADDED[3:]}).schema
-    out = source.join(lists, "rid", "left").select("row", "text", "spans").mapInArrow(_apply(length, keep_text), schema)
+    out = source.join(lists, "rid", "left").select("row", "text", "spans").mapInArrow(frugal(_apply(length, keep_text)), schema)
     return out.select(*(["row.*"] if others else []), F.col("text").alias(text), *ADDED)
