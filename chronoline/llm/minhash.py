@@ -9,7 +9,12 @@ formed only of collisions that two classes share: a key that two classes share n
 member is paired with the bucket's least and greatest member, never with all; candidate pairs whose 32 minhash values
 agree in fewer than FLOOR places (by their low 16 bits) are dropped (at 0.75 a chance of 1e-6), the others are
 confirmed on full sets, which are built where a pair is tested from compressed texts. Then buckets that still hold several components are paired again, component by component, until no
-untested pair leads to a new link.
+such pair leads to a new link.
+
+Documents that lie between the ends of a bucket and are in several components then are still untested against each
+other. They are compared by a prefix filter, which is exact: of two sets that meet the similarity, the first shingles in
+a common order (rare ones first; so many that the rest cannot reach the similarity) share one. Shingles that many
+documents share are dealt in blocks of BLOCK documents, and a pair of one component is never listed.
 
 A null or empty text, or one without words, has an empty set and links with nothing. Texts of under five words are one
 shingle. Repeated rows give a row each. Extra columns are ignored. An empty table gives an empty result.
@@ -27,6 +32,8 @@ from chronoline.llm.shared import MIX, Powers, chunks, connected_components, dro
 
 POWERS = Powers(0x9E3779B97F4A7C15)
 SIDE, HALF, FLOOR = 8, 2, 10
+#: Counters (a power of two) by which shingles are ordered, documents in a block, rows in a task of the prefix filter.
+CELLS, BLOCK, ROWS = 1 << 18, 1024, 100_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -172,9 +179,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str
         named = members.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         apart = named.groupBy("key", "component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         heads = apart.groupBy("key").agg(F.min(F.struct("component", "first", "last")).alias("head"), F.count("*").alias("n")).where("n > 1")
-        again = apart.join(heads, "key").where("component <> head.component")
+        again = apart.join(heads, "key").where("component <> head.component").select("first", "last", "head").distinct()
         pairs = again.select(F.explode(F.array(ends(F.col("first"), F.col("head.last")), ends(F.col("last"), F.col("head.first")))).alias("e")).select("e.*").where("a <> b").distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    rest = _untested(members, parts, source, percent, width)
+    if rest is not None:
+        near = settle(_agreeing(rest.join(tested, ["a", "b"], "left_anti"), reps))
+        found = _confirm(near, source, percent, width)
+        spent += [rest, near, found, parts]
+        parts = connected_components(parts.toDF("a", "b").union(found))
+        release(docs.sparkSession)
     for table in spent:
         drop_settled(table)
     own = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").join(parts, F.col("rep") == F.col("node"), "left")
@@ -182,6 +196,105 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _unpacked(column: pa.Array, width: int):
+    """Parts of a column of packed texts: the first row, the shingle sets and the offsets of the rows."""
+    widen = zstandard.ZstdDecompressor()
+    packed = column.to_pylist()
+    for i, j in chunks(np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype(np.int64), 1 << 18):
+        texts = [widen.decompress(x) for x in packed[i:j]]
+        yield i, *shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64), width)
+
+
+def _cell(sets: np.ndarray) -> np.ndarray:
+    return (sets & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _tally(width: int):
+    """How many shingles of the sets fall in each cell."""
+
+    def run(batches):
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, sets, _ in _unpacked(batch.column(1), width):
+                counts += np.bincount(_cell(sets), minlength=CELLS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
+
+    return frugal(run)
+
+
+def _prefixes(percent: int, width: int, counts: np.ndarray):
+    """The first shingles of each set in the common order: all but those that cannot be a similar pair's first common one."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, sets, cuts in _unpacked(batch.column(1), width):
+                sizes = np.diff(cuts)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((sets, counts[_cell(sets)], row))
+                at = np.arange(len(sets)) - np.repeat(cuts[:-1], sizes)
+                least = np.maximum(-(-percent * sizes // 100), 1)
+                keep = at <= np.repeat(sizes - least, sizes)
+                columns = [sets[order][keep].view(np.int64), ids[i + row[keep]], sizes[row[keep]], at[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "doc_id", "size", "at"])
+
+    return frugal(run)
+
+
+def _matches(percent: int):
+    """Pairs of several components that share a shingle and may meet the similarity if it is their first common one."""
+
+    def run(table):
+        shingle, x, y, doc, size, at, component = (table.column(k).to_numpy() for k in ("shingle", "x", "y", "doc_id", "size", "at", "component"))
+        order = np.lexsort((y, x, shingle))
+        shingle, x, y, doc, size, at, component = (v[order] for v in (shingle, x, y, doc, size, at, component))
+        new = (shingle[1:] != shingle[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(doc)]])
+        out = [np.zeros((2, 0), np.int64)]
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for k in range(i, j, 256):  # a block of many documents in strips: bounded memory
+                s = slice(k, min(k + 256, j))
+                most = np.minimum.outer(size[s] - at[s], size[i:j] - at[i:j])
+                may = (doc[s, None] < doc[i:j]) & (component[s, None] != component[i:j]) & (most * (100 + percent) >= percent * np.add.outer(size[s], size[i:j]))
+                a, b = np.nonzero(may)
+                out.append(np.stack([doc[s][a], doc[i:j][b]]))
+            if sum(v.shape[1] for v in out[-64:]) > 1_000_000:
+                out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _untested(members: DataFrame, parts: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """Pairs of several components that may be similar, of all documents that the ends of a bucket have left untested; null if none are."""
+    spark = members.sparkSession
+    named = lambda d: d.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    inner = named(members.where("doc_id <> low and doc_id <> high"))
+    open_ = inner.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    ids = settle(inner.join(open_, "key", "left_semi").select("doc_id").distinct())
+    if ids.isEmpty():
+        drop_settled(ids)
+        return None
+    texts = settle(source.where("doc_id is not null").mapInArrow(frugal(_pack), "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    release(spark)
+    counts = np.zeros(CELLS, np.int32)
+    tally = texts.mapInArrow(_tally(width), "cell long, n long").groupBy("cell").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    counts[tally.column("cell").to_numpy()] = tally.column("n").to_numpy()
+    first = settle(named(texts.mapInArrow(_prefixes(percent, width, counts), "shingle long, doc_id long, size long, at long")))
+    shared = first.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
+    dealt = first.join(shared.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = settle(dealt.select("shingle", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "size", "at", "component"))
+    tasks = max(1, dealt.count() // ROWS)
+    out = settle(dealt.groupBy(F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(tasks)).alias("task")).applyInArrow(_matches(percent), "a long, b long").distinct())
+    for table in (ids, texts, first, dealt):
+        drop_settled(table)
+    release(spark)
+    return out
+
+
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs whose minhash values agree in FLOOR places or more."""
     a, b = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))

@@ -86,6 +86,22 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_within_a_template_family(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    template = fresh(104)
+    tails = [fresh(26) for _ in range(1200)]
+    twins = rng.sample(range(1200), 240)
+    for a, b in zip(twins[::2], twins[1::2]):  # pairs of similarity 0.8; all others have 0.66
+        tails[b] = tails[a][:12] + fresh(14)
+    rows = [(i, " ".join(template + t)) for i, t in enumerate(tails)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows, extra=False)).collect()}
+    expected = {i: i for i in range(1200)} | {max(p): min(p) for p in zip(twins[::2], twins[1::2])}
+    assert [len(shingles(rows[x][1]) & shingles(rows[y][1])) / len(shingles(rows[x][1]) | shingles(rows[y][1])) >= 0.75 for x, y in (twins[:2], (0, 1))] == [True, False]
+    assert got == expected
+
+
 @pytest.mark.parametrize("one_task", [shared.ONE_TASK, 0])
 def test_components_of_long_chains(spark, one_task):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 500), (1000, 700)] + [(2000, 2001 + i) for i in range(50)]
