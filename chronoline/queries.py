@@ -196,7 +196,7 @@ def repetition_rate(spark, d):
 
 @register(f"WITH RECURSIVE {TL}, f AS (SELECT * FROM tl WHERE event_idx < 40), run AS (SELECT a.pid, a.event_idx AS i, b.event_idx AS j, 1 AS len FROM f a JOIN f b ON a.pid = b.pid AND a.event_idx < b.event_idx AND a.code = b.code UNION ALL SELECT r.pid, r.i, r.j, r.len + 1 FROM run r JOIN f a ON a.pid = r.pid AND a.event_idx = r.i + r.len JOIN f b ON b.pid = r.pid AND b.event_idx = r.j + r.len AND a.code = b.code), best AS (SELECT pid, max(len) AS length FROM run GROUP BY pid) SELECT p.pid, coalesce(length, 0)::BIGINT AS length, coalesce((SELECT min(i) FROM run r WHERE r.pid = p.pid AND r.len = best.length), 0)::BIGINT AS start_idx FROM (SELECT DISTINCT pid FROM tl) p LEFT JOIN best ON best.pid = p.pid")
 def longest_repeat(spark, d):
-    return T.longest_repeat(timelines(spark, d).where("event_idx < 40"))
+    return T.longest_repeat(timelines(spark, d))
 
 
 LAB = "lab AS (SELECT pid, start AS label_time FROM tl WHERE code = 'signup')"

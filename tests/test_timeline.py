@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from chronoline.functions import expressions as X
 from chronoline.operators import evaluation, sequence, timeline, vocab
+from chronoline.queries import QUERIES
+from chronoline.schema import timelines
 
+SF = "/root/testdata/sf0.001"
 LENGTHS = [4, 4, 5, 5, 6, 7, 10, 13, 14, 14, 14, 15, 20, 22, 29, 30]
 
 
@@ -83,3 +86,22 @@ def test_streams_equal_batches(spark, tmp_path):
     q.stop()
     batch = e.groupBy(F.window("start", "7 days"), "code").count().select(F.col("window.start").alias("week"), "code", F.col("count").alias("n"))
     assert sorted(map(tuple, spark.table("weekly").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_longest_repeat_reads_whole_timelines(spark):
+    codes = {}
+    for r in timelines(spark, SF).select("pid", "event_idx", "code").orderBy("pid", "event_idx").collect():
+        codes.setdefault(r["pid"], []).append(r["code"])
+    codes = {k: codes[k] for k in sorted(codes)[:40]}
+    expected = {}
+    for pid, c in codes.items():
+        best = (0, 0)
+        for i in range(len(c)):
+            for j in range(i + 1, len(c)):
+                n = 0
+                while j + n < len(c) and c[i + n] == c[j + n]:
+                    n += 1
+                best = max(best, (n, -i))
+        expected[pid] = (best[0], -best[1])
+    got = {r["pid"]: (r["length"], r["start_idx"]) for r in QUERIES["longest_repeat"](spark, SF).collect() if r["pid"] in codes}
+    assert max(map(len, codes.values())) > 40 and got == expected
