@@ -286,6 +286,16 @@ def test_main_text(spark):
     assert '"main": true' in found["wrapper"] and 1 <= found["n_pages"] <= wrappers.SAMPLE
 
 
+def test_templates_are_shares_of_distinct_pages(spark):
+    page = lambda own, line: f"<body><div><p>{own}</p></div><div><p>{line}</p></div></body>"
+    copies = [(i, f"http://copies.example.com/{i}", page("the only words", "and more")) for i in range(40)]
+    other = [(100, "http://copies.example.com/x", page("the only words", "of another page"))]
+    site = [(200 + i, f"http://site.example.com/{i}", page(f"own {i}", "missing once" if i == 7 else "all rights")) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame(copies + other + site, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "the only words\nand more" for i in range(40)) and got[100] == "the only words\nof another page"
+    assert all(got[200 + i] == f"own {i}" + ("\nmissing once" if i == 7 else "") for i in range(40))
+
+
 def test_wrapper_alignment():
     a, b = wrappers.shape("<ul><li>x</li><li>y</li></ul><p>z"), wrappers.shape("<ul><li>x</li></ul><b>q</b><p>z")
     assert wrappers.show(wrappers.align(a, b)) == "<ul>(<li>#</li>)+</ul>(<b>)?(#)?(</b>)?<p>#"
