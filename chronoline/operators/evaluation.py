@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 M = 2147483647
 
 
-def bootstrap_weights(spark: SparkSession, n: int, replicates: int, parts: int | None = None) -> DataFrame:
-    """(b, idx, w): how often each of n patients is drawn in each replicate; the draw is the same in any engine."""
+def bootstrap_draws(spark: SparkSession, n: int, replicates: int, parts: int | None = None) -> DataFrame:
+    """(b, idx): the n draws of each replicate; the same in any engine."""
     rows = spark.range(0, replicates * n, 1, *([parts] if parts else []))
     b, i = F.floor(F.col("id") / n), F.col("id") % n
     x1 = (b * 1000003 + i * 7919 + 12345) % M * 48271 % M
     x3 = (x1 * x1 % M * 69621 + b) % M
-    return rows.select(b.alias("b"), (x3 % n).alias("idx")).groupBy("b", "idx").agg(F.count("*").alias("w"))
+    return rows.select(b.alias("b"), (x3 % n).alias("idx"))
+
+
+def bootstrap_weights(spark: SparkSession, n: int, replicates: int, parts: int | None = None) -> DataFrame:
+    """(b, idx, w): how often each of n patients is drawn in each replicate; the draw is the same in any engine."""
+    return bootstrap_draws(spark, n, replicates, parts).groupBy("b", "idx").agg(F.count("*").alias("w"))
 
 
 def auroc(df: DataFrame, by: list[str], y: str = "y", p: str = "p", w: str = "w") -> DataFrame:

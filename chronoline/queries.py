@@ -419,11 +419,12 @@ def checkpoint_crossings(spark, d):
     return A.crossings(e, "pid", "event_idx", "v", 100000).withColumn("crossed", F.col("crossed").cast("long"))
 
 
-def _replicates(spark, d, n: int = 20) -> DataFrame:
+def _replicates(spark, d, n: int = 1000) -> DataFrame:
+    """(model, b, y, p, w) of the reference's 1,000 replicates: draws are summed for each score before they are shuffled."""
     p = predictions(spark, d)
     people = P.dense_index(p.select("pid").distinct(), "pid")
-    weights = E.bootstrap_weights(spark, people.count(), n)
-    return p.join(people, "pid").join(weights, "idx")
+    draws = E.bootstrap_draws(spark, people.count(), n)
+    return draws.join(p.join(people, "pid"), "idx").groupBy("model", "b", "y", "p").agg(F.count("*").alias("w"))
 
 
 REP = f"{PR}, people AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS idx FROM (SELECT DISTINCT pid FROM pr)), {BOOT}, rep AS (SELECT pr.*, b, w FROM pr JOIN people USING (pid) JOIN boot USING (idx))"
