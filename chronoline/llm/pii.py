@@ -27,9 +27,12 @@ CARD = r"\d(?:[ -]?\d){12,18}"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{8,15}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 SSN_VALID = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
-KEY = r"AKIA[0-9A-Z]{16}|(?<=[Tt]oken = \"|[Pp]assword=|[Ss]ecret=|[Tt]oken=)[0-9a-f]{8,64}"
+KEY = r"AKIA[0-9A-Z]{16}"
+#: What is assigned to a name of a credential; a bare "key:" is prose too often.
+ASSIGNED = r"(?<=(?i:(?:api|access|private|secret|auth)[_-]?key|secret|password|passwd|pwd|token)[\"']? {0,3}[:=] {0,3}[\"']?|(?i:key)[\"']? {0,3}= {0,3}[\"']?)[^\s\"'<>,;&]{4,}"
 EDGE = r"(?<![A-Za-z0-9_])(?:{})(?![A-Za-z0-9_])"
-ANY = EDGE.format("|".join((EMAIL, IP, ISO, DAY, SSN, PHONE.replace(r"(?:\+\d{1,3}[ .-]?)?", r"(?:(?<!\d)\+\d{1,3}[ .-]?)?", 1), CARD, KEY)))
+ANY = EDGE.format(ASSIGNED) + "|" + EDGE.format("|".join((EMAIL, IP, ISO, DAY, SSN, PHONE.replace(r"(?:\+\d{1,3}[ .-]?)?", r"(?:(?<!\d)\+\d{1,3}[ .-]?)?", 1), CARD, KEY))) + rf"|(?<![A-Za-z0-9_]){ISO}(?=T\d)"
+HINT = r"[0-9@]|(?i:key|secret|passw|pwd|token)"
 START, DAYS = "1800-01-01", (189, 773)  # 400 years are 146097 = 189 x 773 days
 
 
@@ -78,7 +81,25 @@ def _laid(m: Column, new: Column) -> Column:
     return let(new, lambda v: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(v, place(i), F.lit(1))).otherwise(c)), ""))
 
 
+def _run(m: Column) -> Column:
+    """(at, run): the first run of whole digit groups of m that is a valid card number, the longest first; null if none."""
+
+    def runs(words: Column) -> Column:
+        size = lambda i, n: F.length(F.array_join(F.slice(words, i + 1, n), "x"))
+        start = lambda i: size(F.lit(0), i) + F.when(i > 0, 2).otherwise(1)
+        piece = lambda i, j: F.struct(start(i).alias("at"), F.substr(m, start(i), size(i, j - i + 1)).alias("run"))
+        last = F.size(words) - 1
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(last, i, F.lit(-1)), lambda j: piece(i, j))))
+
+    valid = lambda x: let(_digits(x["run"]), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+    return F.get(F.filter(let(F.split(m, "[ -]"), runs), valid), F.lit(0))
+
+
 def _card(m: Column, key: str) -> Column:
+    return let(_run(m), lambda x: F.concat(F.substr(m, F.lit(1), x["at"] - 1), _number(x["run"], key), F.substr(m, x["at"] + F.length(x["run"]))))
+
+
+def _number(m: Column, key: str) -> Column:
     body = lambda d: F.concat(F.substr(d, F.lit(1), F.lit(1)), digits(F.substr(d, F.lit(2), F.length(d) - 2), key, "card"))
     check = lambda x: F.concat(x, F.pmod(10 - luhn_sum(F.concat(x, F.lit("0"))) % 10, F.lit(10)).cast("string"))
     return _laid(m, let(let(_digits(m), body), check))
@@ -135,12 +156,12 @@ def kind_of(m: Column) -> Column:
     """The validated kind of a match, or null."""
     octet = F.forall(F.split(m, r"\."), lambda x: x.try_cast("int") <= 255)
     return (
-        F.when(m.contains("@"), "email").when(_whole(m, IP), F.when(octet, "ip"))
+        F.when(_whole(m, EMAIL), "email").when(_whole(m, IP), F.when(octet, "ip"))
         .when(_whole(m, f"{ISO}|{DAY}"), F.when(F.year(_day_of(m)).between(1800, 2199), "date"))
         .when(_whole(m, SSN), F.when(_whole(m, SSN_VALID), "ssn"))
         .when(_whole(m, PHONE), "phone")
-        .when(_whole(m, CARD), let(_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, "card")))
-        .when(_whole(m, "AKIA[0-9A-Z]{16}|[0-9a-f]{8,64}"), "key")
+        .when(_whole(m, CARD), F.when(_run(m).isNotNull(), "card"))
+        .otherwise("key")
     )
 
 
@@ -158,7 +179,7 @@ def pseudonym(m: Column, key: str, kind: Column | None = None) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with `text` rewritten, and n_private, the number of values replaced, by kind in private_kinds."""
     t = F.col(text)
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     step = docs.drop("n_private", "private_kinds").withColumn("_found", found)
     step = step.withColumn("_kinds", F.transform("_found", kind_of))
     step = step.withColumn("_new", F.zip_with("_found", "_kinds", lambda m, k: pseudonym(m, key, k)))

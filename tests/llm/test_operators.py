@@ -260,6 +260,15 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(docs(spark, []), "k").count() == 0
 
 
+def test_pseudonyms_of_longer_matches(spark):
+    rows = [(1, "4111 1111 1111 1111 12/27, 4111-1111-1111-1111 123. 7 4111111111111111"), (2, "2024-03-05T10:00:00Z and 2024-03-05"), (3, "password=hunter2 api_key='Ab3-Zz9_Q' Token: xYz12345, the key: word")]
+    got = [r["text"] for r in pii.pseudonymize(docs(spark, rows), "k").orderBy("doc_id").collect()]
+    assert "1111 1111 1111" not in got[0] and "4111-1111" not in got[0] and "4111111111111111" not in got[0]
+    assert " 12/27, " in got[0] and " 123. 7 " in got[0]
+    assert "2024-03-05" not in got[1] and got[1][:10] == got[1][-10:] and got[1][10:20] == "T10:00:00Z"
+    assert not any(x in got[2] for x in ("hunter2", "Ab3", "xYz12345")) and got[2].endswith(", the key: word")
+
+
 def test_pseudonyms_permute(spark):
     ids = spark.range(1000)
     assert ids.select(pii.digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("x")).distinct().count() == 1000
