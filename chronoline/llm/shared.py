@@ -15,27 +15,81 @@ from pyspark.sql import functions as F
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own bound.
+BATCH_BYTES = 4 << 20
+#: Keys with more than 1 / HOT of all rows are dealt to SPREAD partitions each; there are HOT of them at most.
+HOT, SPREAD = 1_000, 64
+_written: list[list[str]] = []
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes, not only by rows: rows of any length leave a worker's memory alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only in local mode, where all is one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "chronoline-shared"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "chronoline-shared"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def settle(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage is cut and lost executors cost nothing."""
+    bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_settled(df: DataFrame) -> None:
     """Removes the files of a settled frame that no later plan reads."""
-    spark = df.sparkSession
     for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f.rsplit("/", 1)[0])
+
+
+def settled_alone(spark: SparkSession, build) -> DataFrame:
+    """The frame that build() returns, settled; whatever else was settled for it is removed."""
+    _written.append([])
+    try:
+        out = settle(build())
+        keep = _written[-1].pop()
+        for path in _written[-1]:
+            _delete(spark, path)
+    finally:
+        _written.pop()
+    if _written:
+        _written[-1].append(keep)
+    return out
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, by, how: str = "inner") -> DataFrame:
+    """left joined to right, which has each key once and in `weight` the rows of left that have it.
+
+    A key with more than a thousandth of these rows is hot: its rows of left are dealt to SPREAD partitions by the hash
+    of `by`, and its row of right goes to all of them. There are a thousand hot keys at most, so they are broadcast.
+    `weight` is dropped. right must be settled: it is read twice, and its weights are summed first.
+    """
+    limit = (right.agg(F.sum(weight)).first()[0] or 0) // HOT
+    hot = F.col(weight) > max(limit, 100)
+    salts = F.array(*(F.lit(i) for i in range(SPREAD)))
+    wide = right.withColumn("_salt", F.explode(F.when(hot, salts).otherwise(F.array(F.lit(0))))).drop(weight)
+    known = F.broadcast(right.where(hot).select(*keys, F.lit(True).alias("_hot")))
+    dealt = left.join(known, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("_hot")
+    return dealt.join(wide, [*keys, "_salt"], how).drop("_salt")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -82,13 +136,46 @@ class Powers:
         return mix64(h + (end - start).astype(np.uint64) * MIX)
 
 
+class Weights:
+    """Hashes of words by a random weight for each place in a word, in two independent copies.
+
+    Unlike sums of powers modulo 2^64, they have no pairs of texts that collide by their structure."""
+
+    def __init__(self, salt: int):
+        self.salt, self.held = np.array([salt, salt ^ 0x5851F42D4C957F2D], np.uint64), np.zeros((2, 0), np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if self.held.shape[1] < n:
+            at = np.arange(1, max(n, 4096, 2 * self.held.shape[1]) + 1, dtype=np.uint64) * MIX
+            self.held = np.stack([mix64(at ^ mix64(s)) | np.uint64(1) for s in self.salt[:, None]])
+        return self.held
+
+    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, copies: int = 2) -> np.ndarray:
+        """Rows of hashes of the spans [start, end) of small integers, which rise and do not overlap; none is empty."""
+        if not len(starts):
+            return np.zeros((copies, 0), np.uint64)
+        place = np.zeros(len(values), np.int32)
+        place[starts] = starts
+        place = np.arange(len(values), dtype=np.int32) - np.maximum.accumulate(place)
+        size = ends - starts
+        weights = self.upto(int(size.max()) + 1)
+        np.minimum(place, int(size.max()), out=place)  # between spans the place means nothing
+        edges = np.empty(2 * len(starts), np.int64)
+        edges[::2], edges[1::2] = starts, ends
+        edges = edges[: -1 if edges[-1] >= len(values) else None]
+        plain = values.astype(np.uint64) + np.uint64(1)
+        return np.stack([mix64(np.add.reduceat(plain * weights[k][place], edges)[::2] + size.astype(np.uint64) * MIX) for k in range(copies)])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and the offsets of its rows; null rows are empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    """The UTF-8 bytes of a string or binary column, not copied, and the offsets of its rows; null rows are empty."""
     if column.null_count:
-        column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    data = column.buffers()[2] if len(column) else None
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     return raw, offsets - offsets[0]
 
@@ -97,11 +184,13 @@ def frugal(run):
     """run over batches, after which freed memory goes back to the system: workers are reused and wait between tasks."""
 
     def both(batches):
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
 
     return both
 

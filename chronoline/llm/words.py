@@ -8,12 +8,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 
-from chronoline.llm.shared import Powers, ragged_take
+from chronoline.llm.shared import Weights, ragged_take
 
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-POWERS = Powers(0x2545F4914F6CDD1D)
+WEIGHTS = Weights(0x2545F4914F6CDD1D)
+PIECES = 4_000_000
 
 
 @lru_cache(1)
@@ -78,14 +79,14 @@ def odd_rows(cp: np.ndarray, bounds: np.ndarray, normalized: bool) -> np.ndarray
 
 
 class WordTable:
-    """Encoded distinct words by hash, emptied when it holds `most` words: memory stays bounded whatever the vocabulary."""
+    """Encoded distinct words by a hash of 128 bits, emptied when it holds `most` words or PIECES ids: memory stays bounded whatever the vocabulary."""
 
     def __init__(self, encode, most: int = 300_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
+        self.row: dict[tuple[int, int], int] = {}
         self.start, self.size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.flat: list[np.ndarray] = []
         self.total = 0
@@ -94,12 +95,18 @@ class WordTable:
         """The ids of all words, concatenated, and the number of ids of each word."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        prefix = POWERS.prefix((cp.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-        code, names = pd.factorize(POWERS.span(prefix, starts, ends))
-        if len(self.row) + len(names) > self.most:
+        first_hash, second_hash = WEIGHTS.spans(cp, starts, ends)
+        code, names = pd.factorize(first_hash)
+        second = np.zeros(len(names), np.uint64)
+        second[code] = second_hash
+        if (second[code] != second_hash).any():  # two words share 64 bits: tell them apart by all 128
+            names, code = np.unique(np.stack([first_hash, second_hash], axis=1), axis=0, return_inverse=True)
+            names, code = [tuple(x) for x in names.tolist()], code.ravel()
+        else:
+            names = list(zip(names.tolist(), second.tolist()))
+        if len(self.row) + len(names) > self.most or self.total > PIECES:
             self.clear()
-        rows = [self.row.get(h, -1) for h in names.tolist()]
-        rows = np.array(rows, np.int64)
+        rows = np.array([self.row.get(h, -1) for h in names], np.int64)
         fresh = np.flatnonzero(rows < 0)
         if len(fresh):
             first = np.full(len(names), len(code), np.int64)
@@ -110,7 +117,7 @@ class WordTable:
             flat, size = self.encode([sub[a:b] for a, b in zip(cuts, cuts[1:])])
             base = len(self.row)
             rows[fresh] = base + np.arange(len(fresh))
-            self.row.update(zip(names[fresh].tolist(), range(base, base + len(fresh))))
+            self.row.update(zip((names[i] for i in fresh.tolist()), range(base, base + len(fresh))))
             self.start.append(self.total + np.cumsum(size) - size)
             self.size.append(size)
             self.flat.append(flat)
