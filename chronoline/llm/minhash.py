@@ -8,16 +8,18 @@ Documents of equal shingle sets collapse to one class first (a third of all rows
 formed only of collisions that two classes share: a key that two classes share needs both. In each table bucket every
 member is paired with the bucket's least and greatest member, never with all; candidate pairs whose 32 minhash values
 agree in fewer than FLOOR places (by their low 16 bits) are dropped (at 0.75 a chance of 1e-6), the others are
-confirmed on full sets, which are built where a pair is tested from compressed texts. Then buckets that still hold several components are paired again, component by component, until no
-such pair leads to a new link.
-
-Documents that lie between the ends of a bucket and are in several components then are still untested against each
-other. They are compared by a prefix filter, which is exact: of two sets that meet the similarity, the first shingles in
-a common order (rare ones first; so many that the rest cannot reach the similarity) share one. Shingles that many
-documents share are dealt in blocks of BLOCK documents, and a pair of one component is never listed.
-
-A null or empty text, or one without words, has an empty set and links with nothing. Texts of under five words are one
-shingle. Repeated rows give a row each. Extra columns are ignored. An empty table gives an empty result.
+confirmed on full sets, which are built where a pair is tested from compressed texts. Then, up to ROUNDS times while
+that leads to new links, each component that shares a bucket with another one is paired with the first component of one
+of its buckets, so that a round has at most two pairs a component.
+
+Whatever of a bucket is in several components after that is compared by a prefix filter, which is exact: of two sets that
+meet the similarity, the first shingles in a common order (rare ones first; so many that the rest cannot reach the
+similarity) share one. Shingles that many documents share are dealt in blocks of BLOCK documents, and a pair of one
+component is never listed. So no two documents of a bucket stay untested unless a chain of links joins them already.
+
+Ids are integers. A null or empty text, or one without words, has an empty set and links with nothing, as has a row
+without an id. Texts of under five words are one shingle. Rows that share an id are one document: they give a row each
+and are in one component even where their texts differ. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, Powers, chunks, connected_components, drop_settled, frugal, mix64, release, settle, text_bytes
+from chronoline.llm.shared import MIX, Weights, chunks, connected_components, drop_settled, frugal, mix64, release, settle, spread_join, text_bytes
 
-POWERS = Powers(0x9E3779B97F4A7C15)
-SIDE, HALF, FLOOR = 8, 2, 10
+WEIGHTS = Weights(0x9E3779B97F4A7C15)
+SIDE, HALF, FLOOR, ROUNDS = 8, 2, 10, 6
 #: Counters (a power of two) by which shingles are ordered, documents in a block, rows in a task of the prefix filter.
 CELLS, BLOCK, ROWS = 1 << 18, 1024, 100_000
 
@@ -47,7 +49,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[
     at = np.flatnonzero(new)
     keep = ~gap[at[:-1]] if n else np.zeros(0, bool)
     starts, ends = at[:-1][keep], at[1:][keep]
-    word = POWERS.span(POWERS.prefix((low.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), starts, ends)
+    word = WEIGHTS.spans(low, starts, ends, 1)[0]
     cut = np.searchsorted(starts, offsets)
     salt = mix64(np.arange(1, width + 1, dtype=np.uint64) * MIX) | np.uint64(1)
     out, sizes = [], np.zeros(len(offsets) - 1, np.int64)
@@ -143,57 +145,83 @@ def _test(percent: int, width: int):
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: documents linked by 100 x intersection >= percent x union."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    spark = docs.sparkSession
     signed = settle(source.mapInArrow(_sign(width), "doc_id long, n_shingles long, h1 long, h2 long, halves array<long>, sketch array<short>"))
-    filled = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    has_set = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    filled = signed.where(has_set)
+    classes = settle(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = settle(filled.join(classes, (filled.doc_id == classes.rep) & (filled.h1 == classes.h1) & (filled.h2 == classes.h2), "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "halves", "sketch"))
-    single = reps.select("doc_id", F.explode("halves").alias("half"))
-    shared = settle(single.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("half"))
-    release(docs.sparkSession)
-    sides = settle(single.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_list("half").alias("halves")))
-    drop_settled(shared)
-    release(docs.sparkSession)
-    side = lambda k: F.filter("halves", lambda x: x.bitwiseAND(F.lit(1)) == k)
-    keyed = sides.select("doc_id", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
-    buckets = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
-    release(docs.sparkSession)
-    members = settle(keyed.join(buckets, "key"))
-    drop_settled(sides)
-    drop_settled(buckets)
-    release(docs.sparkSession)
+    members = _members(reps)
+    links, spent = _same_id(filled, classes), [reps, members]
     ends = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.select(F.explode(F.array(ends(F.col("doc_id"), F.col("low")), ends(F.col("doc_id"), F.col("high")))).alias("e")).select("e.*").where("a <> b").distinct()
-    spent, tested, parts = [reps, members], None, docs.sparkSession.createDataFrame([], "node long, component long")
-    while True:
+    both = lambda d, x, y: d.select(F.explode(F.array(x, y)).alias("e")).select("e.*").where("a <> b").distinct()
+    pairs = both(members, ends(F.col("doc_id"), F.col("low")), ends(F.col("doc_id"), F.col("high")))
+    tested, parts = None, None
+    for turn in range(ROUNDS):
         near = settle(_agreeing(pairs, reps))
         found = _confirm(near, source, percent, width)
-        release(docs.sparkSession)
+        release(spark)
         fresh = found.count()
         spent += [near, found]
-        tested = near if tested is None else tested.union(near)
-        if fresh == 0:
+        tested, links = near if tested is None else tested.union(near), links.union(found)
+        if parts is None or fresh:
+            spent += [parts] if parts is not None else []
+            parts = connected_components(links)
+        if not fresh:
             break
-        spent.append(parts)
-        parts = connected_components(parts.toDF("a", "b").union(found))
-        # buckets that still hold several components: the least member of each, against the bucket's least component
-        named = members.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        apart = named.groupBy("key", "component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        heads = apart.groupBy("key").agg(F.min(F.struct("component", "first", "last")).alias("head"), F.count("*").alias("n")).where("n > 1")
-        again = apart.join(heads, "key").where("component <> head.component").select("first", "last", "head").distinct()
-        pairs = again.select(F.explode(F.array(ends(F.col("first"), F.col("head.last")), ends(F.col("last"), F.col("head.first")))).alias("e")).select("e.*").where("a <> b").distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        # components that share a bucket with others: each against the first component of one of its buckets
+        apart = settle(_named(members.select("key", "doc_id"), parts).groupBy("key", "component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+        heads = settle(apart.groupBy("key").agg(F.min(F.struct("component", "first", "last")).alias("head"), F.count("*").alias("n")).where("n > 1"))
+        met = spread_join(apart, heads, ["key"], "n", ["component"]).where("component <> head.component")
+        one = met.groupBy("component").agg(F.min_by(F.struct("first", "last", "head"), F.struct(F.xxhash64("head.component", F.lit(turn)), "first", "last", "head")).alias("e")).select("e.*")
+        pairs = both(one, ends(F.col("first"), F.col("head.last")), ends(F.col("last"), F.col("head.first"))).join(tested, ["a", "b"], "left_anti")
+        spent += [apart, heads]
     rest = _untested(members, parts, source, percent, width)
     if rest is not None:
         near = settle(_agreeing(rest.join(tested, ["a", "b"], "left_anti"), reps))
         found = _confirm(near, source, percent, width)
         spent += [rest, near, found, parts]
-        parts = connected_components(parts.toDF("a", "b").union(found))
-        release(docs.sparkSession)
-    for table in spent:
+        parts = connected_components(links.union(found))
+        release(spark)
+    verdict = settle(classes.join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", "copies", F.coalesce("component", "rep").alias("component_id")))
+    for table in [*spent, classes, parts]:
         drop_settled(table)
-    own = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").join(parts, F.col("rep") == F.col("node"), "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    cols = ["doc_id", "n_shingles", "component_id"]
+    own = spread_join(filled.select("doc_id", "n_shingles", "h1", "h2"), verdict, ["h1", "h2"], "copies", [F.monotonically_increasing_id()]).select(cols)
+    bare = signed.where(~F.coalesce(has_set, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return own.union(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _same_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id but not a text."""
+    ids = settle(filled.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id"))
+    rows = filled.join(ids, "doc_id").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"])
+    return settle(rows.groupBy("doc_id").agg(F.collect_set("rep").alias("r")).select(F.array_min("r").alias("a"), F.explode("r").alias("b")).where("a <> b"))
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """(key, doc_id, low, high): table buckets of two documents and more, with their members and ends, settled."""
+    spark = reps.sparkSession
+    single = reps.select("doc_id", F.explode("halves").alias("half"))
+    shared = settle(single.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("half", "n"))
+    release(spark)
+    sides = settle(spread_join(single, shared, ["half"], "n", ["doc_id"]).groupBy("doc_id").agg(F.collect_set("half").alias("halves")))
+    drop_settled(shared)
+    release(spark)
+    side = lambda k: F.filter("halves", lambda x: x.bitwiseAND(F.lit(1)) == k)
+    keyed = sides.select("doc_id", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
+    buckets = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high"))
+    release(spark)
+    out = settle(spread_join(keyed, buckets, ["key"], "n", ["doc_id"]))
+    drop_settled(sides)
+    drop_settled(buckets)
+    release(spark)
+    return out
+
+
+def _named(d: DataFrame, parts: DataFrame) -> DataFrame:
+    """d with the component of its doc_id."""
+    return d.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
 def _unpacked(column: pa.Array, width: int):
@@ -270,26 +298,28 @@ def _matches(percent: int):
 def _untested(members: DataFrame, parts: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame | None:
     """Pairs of several components that may be similar, of all documents that the ends of a bucket have left untested; null if none are."""
     spark = members.sparkSession
-    named = lambda d: d.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    inner = named(members.where("doc_id <> low and doc_id <> high"))
-    open_ = inner.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    ids = settle(inner.join(open_, "key", "left_semi").select("doc_id").distinct())
+    inner = settle(_named(members.where("doc_id <> low and doc_id <> high").select("key", "doc_id"), parts))
+    open_ = settle(inner.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n"))
+    ids = settle(spread_join(inner, open_, ["key"], "n", ["doc_id"]).select("doc_id").distinct())
+    for table in (inner, open_):
+        drop_settled(table)
     if ids.isEmpty():
         drop_settled(ids)
         return None
-    texts = settle(source.where("doc_id is not null").mapInArrow(frugal(_pack), "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = settle(source.where("doc_id is not null").mapInArrow(frugal(_pack), "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"]))
     release(spark)
     counts = np.zeros(CELLS, np.int32)
     tally = texts.mapInArrow(_tally(width), "cell long, n long").groupBy("cell").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     counts[tally.column("cell").to_numpy()] = tally.column("n").to_numpy()
-    first = settle(named(texts.mapInArrow(_prefixes(percent, width, counts), "shingle long, doc_id long, size long, at long")))
+    first = settle(_named(texts.mapInArrow(_prefixes(percent, width, counts), "shingle long, doc_id long, size long, at long"), parts))
     shared = first.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y")
-    dealt = first.join(shared.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    shared = settle(shared.select("shingle", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = spread_join(first, shared, ["shingle"], "n", ["doc_id"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = settle(dealt.select("shingle", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "size", "at", "component"))
     tasks = max(1, dealt.count() // ROWS)
     out = settle(dealt.groupBy(F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(tasks)).alias("task")).applyInArrow(_matches(percent), "a long, b long").distinct())
-    for table in (ids, texts, first, dealt):
+    for table in (ids, texts, first, shared, dealt):
         drop_settled(table)
     release(spark)
     return out
@@ -307,10 +337,10 @@ def _confirm(pairs: DataFrame, source: DataFrame, percent: int, width: int) -> D
     planner, which broadcasts them if they are few (the session's limit) and else shuffles the compressed texts."""
     spark = pairs.sparkSession
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = settle(source.where("doc_id is not null").mapInArrow(frugal(_pack), "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = settle(source.where("doc_id is not null").mapInArrow(frugal(_pack), "doc_id long, packed binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "packed"]))
     release(spark)
     x, y = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y"))
-    found = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_test(percent, width), "a long, b long"))
+    found = settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_test(percent, width), "a long, b long").distinct())
     drop_settled(texts)
     drop_settled(ids)
     return found

@@ -395,3 +395,44 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0 and stage_input.count() == 0
+
+
+def morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_in_sums_of_powers(spark, n):
+    from tokenizers import Tokenizer
+
+    texts = [w for x in morse(n) for w in (x, f"{x} and more")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in bpe.digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert [got[i]["decoded_sha256"] for i in range(4)] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    ids = [np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")[:2048] for t in texts]
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pieces(df, P.path("word_bpe_49k.json")).where("piece = 0").collect()} == {i: zlib.crc32(x.tobytes()) for i, x in enumerate(ids)}
+    assert [r["component_id"] for r in minhash.near_duplicates(df).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    text = lambda *at: " ".join(f"w{i}" for a in at for i in range(a, a + 30))
+    rows = [(5, text(0)), (5, text(100)), (2, text(0)), (7, text(100)), (9, text(300)), (9, text(300)), (3, text(500)), (3, None)]
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(5, 26): (2, False), (2, 26): (2, True), (7, 26): (2, False), (9, 26): (9, True), (3, 26): (3, True), (3, 0): (3, True)}
+
+
+def test_no_link_of_many_pairs_on_one_template_is_lost(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+    template, rows = fresh(80), []
+    for k in range(2500):  # a pair has 0.8 and more, texts of different pairs 0.63
+        own = fresh(23)
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + own[: rng.randrange(12, 19)] + fresh(6)))]
+    a, b = (shingles(rows[i][1]) for i in (0, 1))
+    assert len(a & b) / len(a | b) >= 0.8 and len(a & shingles(rows[2][1])) / len(a | shingles(rows[2][1])) < 0.7
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(5000)}
