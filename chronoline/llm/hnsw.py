@@ -1,10 +1,16 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors collapse to one class. Classes are dealt to shards by hash, each shard builds one graph, and every class
-queries every shard in blocks. A beam that comes back full of links is doubled for its query until it ends in
-vectors below the threshold; a fixed audit of hash-chosen queries against all vectors of the shard doubles the beam of
-the whole block until its recall is AUDIT at least. Links are confirmed by the cosine in double precision; each task
-emits link counts and a spanning forest, never pairs, and the forests are joined by connected components.
+queries every shard in blocks. A beam that comes back full of links is widened for its query until it ends in
+vectors below the threshold. Each block is audited against all vectors of the shard: hash-chosen queries, AUDITED at a
+time, until AUDITED of them have links other than to themselves or AUDIT_MOST were looked at. The recall of each
+audited query counts alike, so that a large group of copies does not hide what is lost of small ones. Below AUDIT the
+block's beam doubles, for all queries but those that the audit has already shown in full, up to the whole shard. A block whose audit has no link at
+all has nothing to lose by it and keeps its beam. The measured recall is in the
+result if `with_recall` is set.
+
+Links are confirmed by the cosine in double precision; each task emits link counts and a spanning forest, never pairs,
+and the forests are joined by connected components.
 
 Shards are SHARDS, or as many as keep a shard within SHARD vectors, whichever is more, so memory is bounded; blocks
 hold about BLOCK queries. Vectors of different dimensions link with nothing of another dimension. Null, empty or zero
@@ -21,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, connected_components, find_roots, mix64, settle
+from chronoline.llm.shared import MIX, connected_components, drop_settled, find_roots, mix64, settle, spread_join
 
-SHARDS, SHARD, BLOCK, DEGREE, BEAM, AUDIT, AUDITED, WAYS = 8, 65_536, 16_384, 12, 48, 0.995, 48, 4
+SHARDS, SHARD, BLOCK, DEGREE, BEAM, AUDIT, AUDITED, AUDIT_MOST, WAYS = 8, 65_536, 16_384, 12, 48, 0.995, 48, 1_536, 4
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,38 +157,69 @@ class Graph:
         return beam_search(self.x, self.layers[-1], q, at, min(beam, len(self.x)))
 
 
-def linked(graph: Graph, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Pairs (query, node of the graph's order) that the audited search finds, and the audit's recall."""
+def _search(graph: Graph, q: np.ndarray, rows: np.ndarray, low: np.float32, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, node) of similarity >= low that beams find; a beam more than three quarters full of them is widened."""
     n = len(graph.x)
-    audit = np.argsort(mix64(np.arange(len(q), dtype=np.uint64) * MIX), kind="stable")[:AUDITED]
+    who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, wide = rows, min(beam, n)
+    while len(left):
+        full = [np.zeros(0, np.int64)]
+        step = max(16, 2048 * BEAM // wide)
+        for lo in range(0, len(left), step):
+            part = left[lo : lo + step]
+            ids, sims = graph.search(q[part], wide)
+            hit = (sims >= low) & (ids >= 0)
+            again = (hit.sum(1) > wide * 3 // 4) & (wide < n)
+            r, c = np.nonzero(hit & ~again[:, None])
+            who.append(part[r])
+            what.append(ids[r, c])
+            full.append(part[again])
+        left, wide = np.concatenate(full), min(4 * wide, n)
+    return np.concatenate(who), np.concatenate(what)
+
+
+def audit_of(graph: Graph, q: np.ndarray, own: np.ndarray, low: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Audited rows of q and, for each, which nodes it links with; own: the node that is the query itself, or -1."""
+    order = np.argsort(mix64(np.arange(len(q), dtype=np.uint64) * MIX), kind="stable")[:AUDIT_MOST]
+    rows, links, found = [np.zeros(0, np.int64)], [np.zeros((0, len(graph.x)), bool)], 0
+    for lo in range(0, len(order), AUDITED):
+        part = order[lo : lo + AUDITED]
+        true = (q[part] @ graph.x.T) >= low
+        mine = np.flatnonzero(own[part] >= 0)
+        true[mine, own[part[mine]]] = False
+        some = true.any(1)
+        rows.append(part[some])
+        links.append(true[some])
+        found += int(some.sum())
+        if found >= AUDITED:
+            break
+    return np.concatenate(rows), np.concatenate(links)
+
+
+def linked(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Pairs (query, node of the graph's order) that the audited search finds, the mean recall of the audited queries
+    with links (1 if none has any), and how many those are."""
     low = np.float32(threshold - 1e-3)
-    true = (q[audit] @ graph.x.T) >= low
+    own = np.full(len(q), -1) if own is None else own
+    rows, true = audit_of(graph, q, own, low)
+    place = np.full(len(q), -1)
+    place[rows] = np.arange(len(rows))
     beam = BEAM
+    who, what = _search(graph, q, np.arange(len(q)), low, beam)
     while True:
-        who, what = [], []
-        left, wide = np.arange(len(q)), min(beam, n)
-        while len(left):
-            full = []
-            for lo in range(0, len(left), max(16, 2048 * BEAM // wide)):
-                part = left[lo : lo + max(16, 2048 * BEAM // wide)]
-                ids, sims = graph.search(q[part], wide)
-                hit = (sims >= low) & (ids >= 0)
-                again = (hit.sum(1) > wide * 3 // 4) & (wide < n)
-                r, c = np.nonzero(hit & ~again[:, None])
-                who.append(part[r])
-                what.append(ids[r, c])
-                full.append(part[again])
-            left, wide = np.concatenate(full), min(4 * wide, n)
-        who, what = np.concatenate(who), np.concatenate(what)
         got = np.zeros(true.shape, bool)
-        place = np.full(len(q), -1)
-        place[audit] = np.arange(len(audit))
         on = place[who] >= 0
         got[place[who[on]], what[on]] = True
-        recall = (got & true).sum() / max(1, true.sum())
-        if recall >= AUDIT or beam >= n:
-            return who, what, float(recall)
+        each = (got & true).sum(1) / np.maximum(1, true.sum(1))
+        recall = float(each.mean()) if len(rows) else 1.0
+        if recall >= AUDIT or beam >= len(graph.x):
+            return who, what, recall, len(rows)
         beam *= 2
+        again = np.ones(len(q), bool)
+        again[rows[each == 1]] = False
+        keep = ~again[who]
+        more = _search(graph, q, np.flatnonzero(again), low, beam)
+        who, what = np.concatenate([who[keep], more[0]]), np.concatenate([what[keep], more[1]])
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -203,13 +240,20 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({"dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "graph": pa.array([held], pa.binary())})
 
 
+def _emitted(a, b, n, recall, audited) -> pa.Table:
+    """Rows of one of three kinds: (a, n) a query's links, (a, b) an edge of the forest, (recall, audited) of the block."""
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "recall": pa.array(recall, pa.float64()), "audited": pa.array(audited, pa.int64())})
+
+
 def _query(threshold: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+            return _emitted([], [], [], [], [])
         graph, x, names, weight = pickle.loads(right.column("graph")[0].as_py())
         q, own = _unit(_matrix(left)), left.column("vec_id").to_numpy()
-        who, what, _ = linked(graph, q.astype(np.float32), threshold)
+        order = np.argsort(names, kind="stable")
+        at = order[np.minimum(np.searchsorted(names, own, sorter=order), len(names) - 1)]
+        who, what, recall, audited = linked(graph, q.astype(np.float32), threshold, np.where(names[at] == own, at, -1))
         ok = np.zeros(len(who), bool)
         for lo in range(0, len(who), 65536):
             a = slice(lo, lo + 65536)
@@ -220,21 +264,25 @@ def _query(threshold: float):
         nodes, at = np.unique(np.concatenate([own[who], names[what]]), return_inverse=True)
         root = find_roots(at[: len(who)], at[len(who) :], len(nodes))
         tree = root != np.arange(len(nodes))
-        some = count > 0
-        none = np.zeros(int(some.sum()), np.int64)
-        return pa.table({"a": np.concatenate([own[some], nodes[tree]]), "b": pa.array(np.concatenate([none, nodes[root[tree]]]), mask=np.concatenate([np.ones(len(none), bool), np.zeros(int(tree.sum()), bool)])), "n": np.concatenate([count[some], np.zeros(int(tree.sum()), np.int64)])})
+        some, edges = np.flatnonzero(count > 0), int(tree.sum())
+        none = [None] * len(some)
+        return _emitted([*own[some], *nodes[tree], None], [*none, *nodes[root[tree]], None], [*count[some], *[None] * edges, None], [*none, *[None] * edges, recall], [*none, *[None] * edges, audited])
 
     return run
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept): links of cosine >= threshold between all vectors."""
+def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", with_recall: bool = False) -> DataFrame:
+    """(vec_id, n_links, component_id, kept): links of cosine >= threshold between all vectors.
+
+    with_recall adds audited_recall, the least recall that the audit of a block and shard has ended with (1 if no
+    audited query has links), and audited, the number of audited queries with links; both are alike in all rows.
+    """
     v = F.col(vector).cast("array<double>")
     big = F.lit(float("inf"))
     fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = settle(df.select(F.col(key).cast("long").alias("vec_id"), F.when(fine, v).alias("v")).select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")).alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")))
     fine_rows = rows.where("v is not null and vec_id is not null")
-    classes = fine_rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    classes = settle(fine_rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     reps = fine_rows.join(classes, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"])
     n = classes.count()
     shards, blocks = max(SHARDS, -(-n // SHARD)), max(1, -(-n // BLOCK))
@@ -243,9 +291,14 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     asked = reps.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("vec_id", "v", "dim", "shard", "block")
     dealt = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     by = ["dim", "shard", "block"]
-    found = settle(asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(_query(threshold), "a long, b long, n long"))
+    found = settle(asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(_query(threshold), "a long, b long, n long, recall double, audited long"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    out = rows.join(classes, ["h1", "h2"], "left").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "vec_id")
-    return out.select("vec_id", (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    verdict = settle(classes.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    recall = found.where("recall is not null").agg(F.coalesce(F.min("recall"), F.lit(1.0)), F.coalesce(F.sum("audited"), F.lit(0))).first() if with_recall else None
+    for table in (classes, reps, graphs, found, parts):
+        drop_settled(table)
+    linked_rows = spread_join(fine_rows.select("vec_id", "h1", "h2"), verdict, ["h1", "h2"], "weight", [F.monotonically_increasing_id()]).select("vec_id", "n_links", "component_id")
+    out = linked_rows.union(rows.where("v is null or vec_id is null").select("vec_id", F.lit(0).cast("long"), "vec_id")).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out if recall is None else out.withColumns({"audited_recall": F.lit(float(recall[0])), "audited": F.lit(int(recall[1])).cast("long")})

@@ -125,6 +125,19 @@ def test_embeddings_equal_brute_force(spark):
     assert np.mean([got[k]["component_id"] == good[root[i]][0] for i, (k, _) in enumerate(good)]) > 0.99
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (901, 902, 903, 904, 905))
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
+    audited = hnsw.near_duplicates(df, with_recall=True).first()
+    assert audited["audited_recall"] >= hnsw.AUDIT and audited["audited"] > 100
+
+
+def test_audit_ignores_the_query_itself_and_queries_without_links():
+    x = np.random.default_rng(1).normal(size=(3000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x, np.arange(3000))
+    q, own = graph.x[:400], np.arange(400)
+    who, what, recall, audited = hnsw.linked(graph, q, 0.95, own)
+    assert (recall, audited) == (1.0, 0) and len(who) < 3 * 400  # nothing to lose: beams stay narrow
+    rows, true = hnsw.audit_of(graph, np.concatenate([q, q]), np.concatenate([own, np.full(400, -1)]), np.float32(0.949))
+    assert set(rows) <= set(range(400, 800)) and len(rows) >= hnsw.AUDITED and true.sum() == len(rows)
 
 
 def repeats(texts, size):
