@@ -76,19 +76,21 @@ def settled_alone(spark: SparkSession, build) -> DataFrame:
     return out
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, by, how: str = "inner") -> DataFrame:
-    """left joined to right, which has each key once and in `weight` the rows of left that have it.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, by, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined to right, which has each key once. right, or else `counts`, has in `weight` the rows of left by key.
 
     A key with more than a thousandth of these rows is hot: its rows of left are dealt to SPREAD partitions by the hash
-    of `by`, and its row of right goes to all of them. There are a thousand hot keys at most, so they are broadcast.
-    `weight` is dropped. right must be settled: it is read twice, and its weights are summed first.
+    of `by`, and its row of right goes to all of them. There are a thousand hot keys at most: their hashes are collected
+    and become a literal of the plan. `weight` of right is dropped. The weights are read first: settle what holds them.
     """
-    limit = (right.agg(F.sum(weight)).first()[0] or 0) // HOT
-    hot = F.col(weight) > max(limit, 100)
-    salts = F.array(*(F.lit(i) for i in range(SPREAD)))
-    wide = right.withColumn("_salt", F.explode(F.when(hot, salts).otherwise(F.array(F.lit(0))))).drop(weight)
-    known = F.broadcast(right.where(hot).select(*keys, F.lit(True).alias("_hot")))
-    dealt = left.join(known, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("_hot")
+    counts, right = (right, right.drop(weight)) if counts is None else (counts, right)
+    limit = max(100, (counts.agg(F.sum(weight)).first()[0] or 0) // HOT)
+    hot = [r[0] for r in counts.where(F.col(weight) > limit).select(F.xxhash64(*keys)).collect()]
+    if not hot:
+        return left.join(right, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    dealt = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int")).otherwise(0))
+    wide = right.withColumn("_salt", F.explode(F.when(is_hot, F.array(*(F.lit(i) for i in range(SPREAD)))).otherwise(F.array(F.lit(0)))))
     return dealt.join(wide, [*keys, "_salt"], how).drop("_salt")
 
 

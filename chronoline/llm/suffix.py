@@ -9,7 +9,8 @@ recursively. All strings of a batch take each step together, in numpy.
 `remove_repeats` finds what the arrays must hold: every window of `length` bytes belongs to the anchor that it selects
 (its gram of least hash), so equal windows have equal anchors. Runs of windows of an anchor that occurs once cannot
 repeat. Equal runs collapse to one with a count, by aggregation. The distinct runs of an anchor are sorted together and
-a window repeats where its neighbour in the array shares `length` bytes. An anchor with more than MOST distinct runs is
+a window repeats where its neighbour in the array shares `length` bytes. Keys that many rows share (copies of a text,
+a passage of thousands of documents) are dealt to many tasks in every join. An anchor with more than MOST distinct runs is
 never gathered: its runs are cut again by longer grams, in the end by the whole window, which needs counting only.
 
 Null texts are empty. Texts shorter than `length` lose nothing. Repeated rows repeat each other. An empty table gives
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, Powers, chunks, frugal, mix64, ragged_take, release, settle, text_bytes
+from chronoline.llm.shared import MIX, Powers, chunks, drop_settled, frugal, mix64, ragged_take, release, settle, spread_join, text_bytes
 
 POWERS = Powers(0xC2B2AE3D27D4EB4F)
 GRAMS, MOST, BATCH, STEP = (100, 150, 180, 195), 64, 1_500_000, 1 << 18
@@ -224,12 +225,12 @@ def _runs(length: int, gram: int, wanted: str):
 
     def run(batches):
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
+            raw, offsets = text_bytes(batch.column(2))
             for i, j in chunks(offsets, STEP):
                 row, start, count, lead, anchor, body = segments(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
                 cols = {"anchor": pa.array(anchor.view(np.int64))}
                 if wanted == "all":
-                    cols |= {"rid": batch.column(0).take(pa.array(row + i)), "start": pa.array(start.astype(np.int32)), "run": pa.array(count.astype(np.int32)), "body": pa.array(body.view(np.int64))}
+                    cols |= {"r1": batch.column(0).take(pa.array(row + i)), "r2": batch.column(1).take(pa.array(row + i)), "start": pa.array(start.astype(np.int32)), "run": pa.array(count.astype(np.int32)), "body": pa.array(body.view(np.int64))}
                 if len(anchor):
                     yield pa.RecordBatch.from_pydict(cols)
 
@@ -318,19 +319,20 @@ def _verdicts(sized: DataFrame, length: int, grams: tuple[int, ...]) -> DataFram
     found = None
     for gram in (*grams, length):
         cut = settle(parts.mapInArrow(frugal(_recut(length, gram)), schema))
-        counted = cut.groupBy("anchor").agg(F.count("*").alias("many"))
-        cut = settle(cut.join(counted.where("many > 1").drop("many"), "anchor"))
-        own = cut.groupBy("anchor", "body").agg(F.count("*").alias("many"), F.min("run").alias("run"), F.min("bytes").alias("bytes"))
-        sets = own.groupBy("anchor").agg(F.count("*").alias("n"))
-        own = settle(own.join(sets, "anchor"))
+        counted = settle(cut.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"))
+        cut = settle(spread_join(cut, counted, ["anchor"], "many", ["top", "whole", "at"]))
+        own = settle(cut.groupBy("anchor", "body").agg(F.count("*").alias("many"), F.min("run").alias("run"), F.min("bytes").alias("bytes")))
+        sets = settle(own.groupBy("anchor").agg(F.count("*").alias("n"), F.count("*").alias("w")))
+        own = settle(spread_join(own, sets, ["anchor"], "w", ["body"]))
         some = _judged(own.where((F.col("n") > 1) & (F.col("n") <= MOST)), length)
-        known = own.where((F.col("n") <= MOST) | (F.lit(gram) == length)).select("anchor", "body", "many").join(some, ["anchor", "body"], "left")
-        hit = settle(cut.join(known, ["anchor", "body"]).select("top", "whole", "at", "run", F.when(F.col("many") > 1, F.lit(None).cast("binary")).otherwise(F.col("hits")).alias("hits")))
+        known = own.where((F.col("n") <= MOST) | (F.lit(gram) == length)).select("anchor", "body", "many", F.col("many").alias("w")).join(some, ["anchor", "body"], "left")
+        hit = spread_join(cut, settle(known), ["anchor", "body"], "w", ["top", "whole", "at"])
+        hit = settle(hit.select("top", "whole", "at", "run", F.when(F.col("many") > 1, F.lit(None).cast("binary")).otherwise(F.col("hits")).alias("hits")))
         found = hit if found is None else found.union(hit)
-        rest = own.where((F.col("n") > MOST) & (F.lit(gram) != length)).select("anchor", "body")
+        rest = own.where((F.col("n") > MOST) & (F.lit(gram) != length)).select("anchor", "body", "many")
         if gram == length or rest.isEmpty():
             break
-        parts = cut.join(rest, ["anchor", "body"]).select("top", "whole", "at", "bytes")
+        parts = spread_join(cut, rest, ["anchor", "body"], "many", ["top", "whole", "at"]).select("top", "whole", "at", "bytes")
 
     def merge(batches):
         for batch in batches:
@@ -392,25 +394,39 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep_
     spark = docs.sparkSession
     others = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in ADDED]
     row = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
-    # rows that are equal in all columns share an identity: their spans are the same
-    source = docs.select(F.xxhash64(F.to_json(row), F.coalesce(F.col(text), F.lit(""))).alias("rid"), F.col(text).alias("text"), row.alias("row"))
-    texts = source.select("rid", "text")
-    anchors = texts.mapInArrow(frugal(_runs(length, GRAMS[0], "anchor")), "anchor long").groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor")
-    runs = texts.mapInArrow(frugal(_runs(length, GRAMS[0], "all")), "anchor long, rid long, start int, run int, body long")
-    runs = settle(runs.join(anchors, "anchor"))
+    # equal texts share an identity of 128 bits: their spans are the same
+    plain = F.coalesce(F.col(text), F.lit(""))
+    source = docs.select(F.xxhash64(plain).alias("r1"), F.xxhash64(F.lit(1), plain).alias("r2"), F.col(text).alias("text"), row.alias("row"))
+    texts, rid, spread = source.select("r1", "r2", "text"), ["r1", "r2"], [F.to_json("row")]
+    copies = settle(source.groupBy(*rid).agg(F.count("*").alias("copies")).where("copies > 1"))
+    anchors = settle(texts.mapInArrow(frugal(_runs(length, GRAMS[0], "anchor")), "anchor long").groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"))
+    release(spark)
+    runs = texts.mapInArrow(frugal(_runs(length, GRAMS[0], "all")), "anchor long, r1 long, r2 long, start int, run int, body long")
+    runs = settle(spread_join(runs, anchors, ["anchor"], "many", ["r1", "start"]))
+    drop_settled(anchors)
+    release(spark)
+    bodies = settle(runs.groupBy("anchor", "body").agg(F.count("*").alias("many"), F.min(F.struct("r1", "r2", "start", "run")).alias("one")))
+    sets = settle(bodies.groupBy("anchor").agg(F.count("*").alias("n"), F.count("*").alias("w")).where("n > 1"))
+    distinct = settle(spread_join(bodies, sets, ["anchor"], "w", ["body"]))
+    drop_settled(sets)
+    release(spark)
+    wanted = settle(distinct.select("one.r1", "one.r2", F.struct("anchor", "body", "n", "one.start", "one.run").alias("s")).groupBy(*rid).agg(F.collect_list("s").alias("wanted")))
+    piece = lambda raw, s: F.struct(s["anchor"].alias("anchor"), s["body"].alias("body"), s["n"].alias("n"), s["run"].alias("run"), F.substring(raw, s["start"] + 1, s["run"] + (length - 1)).alias("bytes"))
+    cut = F.flatten(F.transform(F.array(F.encode("text", "UTF-8")), lambda raw: F.transform("wanted", lambda s: piece(raw, s))))  # encoded once a text
+    pieces = settle(spread_join(source, wanted, rid, "copies", spread, counts=copies).select(F.explode(cut).alias("e")).select("e.*").dropDuplicates(["anchor", "body"]))
+    drop_settled(wanted)
     release(spark)
-    distinct = runs.groupBy("anchor", "body").agg(F.count("*").alias("many"), F.min(F.struct("rid", "start", "run")).alias("one"))
-    sets = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    distinct = settle(distinct.join(sets, "anchor"))
+    verdicts = settle(_verdicts(pieces, length, GRAMS[1:]))
+    drop_settled(pieces)
     release(spark)
-    wanted = distinct.select("one.rid", F.struct("anchor", "body", "n", "one.start", "one.run").alias("s")).groupBy("rid").agg(F.collect_list("s").alias("wanted"))
-    piece = lambda s: F.struct(s["anchor"].alias("anchor"), s["body"].alias("body"), s["n"].alias("n"), s["run"].alias("run"), F.substring(F.encode("text", "UTF-8"), s["start"] + 1, s["run"] + (length - 1)).alias("bytes"))
-    pieces = texts.join(wanted, "rid").select(F.explode(F.transform("wanted", piece)).alias("e")).select("e.*").dropDuplicates(["anchor", "body"])
-    verdicts = settle(_verdicts(settle(pieces), length, GRAMS[1:]))
+    # what has no verdict occurs as a whole elsewhere
+    known = settle(distinct.where("many = 1").select("anchor", "body").join(verdicts, ["anchor", "body"], "left").select("anchor", "body", F.coalesce("hits", F.lit(b"")).alias("hits")))
+    placed = spread_join(runs, known, ["anchor", "body"], "many", ["r1", "start"], "left", counts=bodies)
+    lists = placed.select(*rid, F.struct("start", "run", "hits").alias("s")).where("s.hits is null or hex(s.hits) rlike '[1-9A-F]'").groupBy(*rid).agg(F.collect_set("s").alias("spans"))
+    lists = settle(lists)
+    for table in (runs, bodies, distinct, verdicts, known):
+        drop_settled(table)
     release(spark)
-    known = distinct.join(verdicts, ["anchor", "body"], "left").select("anchor", "body", "many", "hits")
-    span = F.struct("start", "run", F.when(F.col("many") == 1, F.coalesce("hits", F.lit(b""))).alias("hits"))
-    lists = runs.join(known, ["anchor", "body"], "left").select("rid", span.alias("s")).where("s.hits is null or hex(s.hits) rlike '[1-9A-F]'").groupBy("rid").agg(F.collect_set("s").alias("spans"))
     schema = source.select("row", "text").withColumns({c: F.lit(0).cast("long") for c in ADDED[:3]} | {c: F.lit(None).cast("string") for c in ADDED[3:]}).schema
-    out = source.join(lists, "rid", "left").select("row", "text", "spans").mapInArrow(frugal(_apply(length, keep_text)), schema)
+    out = spread_join(source, lists, rid, "copies", spread, "left", counts=copies).select("row", "text", "spans").mapInArrow(frugal(_apply(length, keep_text)), schema)
     return out.select(*(["row.*"] if others else []), F.col("text").alias(text), *ADDED)

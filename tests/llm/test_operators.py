@@ -50,6 +50,13 @@ def components(n, links):
     return [find(i) for i in range(n)]
 
 
+def morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
 def near_docs():
     rng = random.Random(4)
     base = [[f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 120))] for _ in range(40)]
@@ -160,8 +167,10 @@ def test_repeats_equal_brute_force(spark, monkeypatch, most):
     word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randrange(2, 9)))
     shared_text = "".join(word() for _ in range(90))
     texts = [None, "", "short", "z" * 199, "z" * 420, "ab" * 300, shared_text, shared_text] + [word() * 3 + shared_text[k : k + rng.randrange(150, 420)] + "".join(word() for _ in range(30)) for k in range(0, 60, 3)] + ["".join(word() for _ in range(60)) for _ in range(5)]
+    texts += [*morse(512), "".join(morse(256)) + "x", *[shared_text + " and an end"] * 300]
     got = suffix.remove_repeats(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
     expected = repeats([(t or "").encode() for t in texts], 200)
+    assert len(texts) > 300  # more than a hundred copies are dealt to many tasks
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == expected
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
@@ -410,13 +419,6 @@ def test_pipeline(spark):
     assert empty.count() == 0 and stage_input.count() == 0
 
 
-def morse(n):
-    s = "a"
-    while len(s) < n:
-        s += s.translate(str.maketrans("ab", "ba"))
-    return s, s.translate(str.maketrans("ab", "ba"))
-
-
 @pytest.mark.parametrize("n", [1024, 4096])
 def test_words_that_collide_in_sums_of_powers(spark, n):
     from tokenizers import Tokenizer
