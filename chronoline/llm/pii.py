@@ -8,8 +8,10 @@ the two parts of a product of two ranges, which makes it a permutation of exactl
 and credentials, which have no such numbering, get a keyed token in the same alphabet and length class.
 
 A null text stays null, an empty one empty; texts without such values are returned unchanged; repeated rows are
-treated alike; an empty table gives an empty result; columns named like the added ones are replaced. Digits that fail
-validation (no Luhn check, octets over 255, no such day) are left alone.
+treated alike; an empty table gives an empty result; columns named like the added ones are replaced, all others kept.
+Digits that fail validation (no Luhn check, octets over 255, no such day) are left alone. Texts may be of any length:
+every part of a pattern is bounded (an address has up to 64 characters before the @ and 254 behind it) or a run of one
+class of characters, so that neither the stack nor the time of a match grows with the run that it stands in.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoline.llm.shared import unused
+
 ROUNDS = 8
 #: What is looked for, by kind (fixed values). A match may not stand inside a longer run of letters or digits.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![.\d]*\d)"
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-][A-Za-z0-9.-]{0,189}\.[A-Za-z]{2,63}"
+IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![.\d]{0,8}\d)"
 ISO = r"\d{4}-\d{2}-\d{2}"
 DAY = r"\d{1,2}[/.]\d{1,2}[/.]\d{4}"
 CARD = r"\d(?:[ -]?\d){12,18}"
@@ -180,11 +184,12 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with `text` rewritten, and n_private, the number of values replaced, by kind in private_kinds."""
     t = F.col(text)
     found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    step = docs.drop("n_private", "private_kinds").withColumn("_found", found)
-    step = step.withColumn("_kinds", F.transform("_found", kind_of))
-    step = step.withColumn("_new", F.zip_with("_found", "_kinds", lambda m, k: pseudonym(m, key, k)))
+    step = docs.drop("n_private", "private_kinds")
+    matches, sorts, new = unused(step, "matches", "sorts", "new")
+    step = step.withColumn(matches, found).withColumn(sorts, F.transform(matches, kind_of))
+    step = step.withColumn(new, F.zip_with(matches, sorts, lambda m, k: pseudonym(m, key, k)))
     pieces = F.split(t, ANY, -1)
-    woven = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
-    kinds = F.filter("_kinds", lambda x: x.isNotNull())
-    out = step.withColumn(text, F.when(F.size("_found") > 0, woven).otherwise(t)).withColumn("n_private", F.size(kinds).cast("long")).withColumn("private_kinds", F.array_join(F.array_sort(F.array_distinct(kinds)), ","))
-    return out.drop("_found", "_kinds", "_new")
+    woven = F.array_join(F.zip_with(pieces, new, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    kinds = F.filter(sorts, lambda x: x.isNotNull())
+    out = step.withColumn(text, F.when(F.size(matches) > 0, woven).otherwise(t)).withColumn("n_private", F.size(kinds).cast("long")).withColumn("private_kinds", F.array_join(F.array_sort(F.array_distinct(kinds)), ","))
+    return out.drop(matches, sorts, new)

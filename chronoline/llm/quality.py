@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoline.llm.shared import unused
+
 BOUND, TREES, DEPTH, BINS, PENALTY = 20_000, 24, 3, 24, 0.002
 
 
@@ -140,7 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND, key: str = "do
 
 def score(docs: DataFrame, rules: Rules, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the column `out`, 0 to 1, higher where label 1 is likelier."""
-    return with_inputs(docs.drop(out), text).withColumn(out, rules.score()).drop("_x")
+    rest = docs.drop(out)
+    (x,) = unused(rest, "x")
+    return with_inputs(rest, text, x).withColumn(out, rules.score(x)).drop(x)
 
 
 def learnable(key: Column) -> Column:

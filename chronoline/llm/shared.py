@@ -40,6 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage is cut and lost executors cost nothing."""
     bounded_batches(df.sparkSession)
