@@ -5,17 +5,17 @@ table keys are all pairs of one collision from either, so 2 x SIDE x HALF minhas
 2 x HALF values. At a similarity of 0.75 a pair shares no table with probability under 0.003, at 0.85 under 2e-5.
 
 Documents of equal shingle sets collapse to one class first (a third of all rows may be one copy). Table keys are
-formed only of collisions that two classes share: a key that two classes share needs both. In each table bucket every
-member is paired with the bucket's least and greatest member, never with all; candidate pairs whose 32 minhash values
-agree in fewer than FLOOR places (by their low 16 bits) are dropped (at 0.75 a chance of 1e-6), the others are
-confirmed on full sets, which are built where a pair is tested from compressed texts. Then, up to ROUNDS times while
-that leads to new links, each component that shares a bucket with another one is paired with the first component of one
-of its buckets, so that a round has at most two pairs a component.
-
-Whatever of a bucket is in several components after that is compared by a prefix filter, which is exact: of two sets that
-meet the similarity, the first shingles in a common order (rare ones first; so many that the rest cannot reach the
-similarity) share one. Shingles that many documents share are dealt in blocks of BLOCK documents, and a pair of one
-component is never listed. So no two documents of a bucket stay untested unless a chain of links joins them already.
+formed only of collisions that two classes share: a key that two classes share needs both. The tables are worked through
+in SLICES parts. In a bucket the ends of every component found so far are paired with the ends of the bucket's least and
+greatest component, never with all; candidate pairs whose 32 minhash values agree in fewer than FLOOR places (by their
+low 16 bits) are dropped (at 0.75 a chance of 1e-6), the others are confirmed on full sets, which are built where a pair
+is tested from compressed texts, and their links join components before the next part begins.
+
+All pairs of a bucket of up to three documents are tested by that. What a larger bucket has in several components at the
+end is compared by a prefix filter, which is exact: of two sets that meet the similarity, the first shingles in a common
+order (rare ones first; so many that the rest cannot reach the similarity) share one. Shingles that many documents share
+are dealt in blocks of BLOCK documents, and a pair of one component is never listed. So no two documents of a bucket stay
+untested unless a chain of links joins them already.
 
 Ids are integers. A null or empty text, or one without words, has an empty set and links with nothing, as has a row
 without an id. Texts of under five words are one shingle. Rows that share an id are one document: they give a row each
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from chronoline.llm.shared import MIX, Weights, chunks, connected_components, drop_settled, frugal, mix64, release, settle, spread_join, text_bytes
 
 WEIGHTS = Weights(0x9E3779B97F4A7C15)
-SIDE, HALF, FLOOR, ROUNDS = 8, 2, 10, 6
+SIDE, HALF, FLOOR, SLICES = 8, 2, 10, 4
 #: Counters (a power of two) by which shingles are ordered, documents in a block, rows in a task of the prefix filter.
 CELLS, BLOCK, ROWS = 1 << 18, 1024, 100_000
 
@@ -151,32 +151,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, key: str
     filled = signed.where(has_set)
     classes = settle(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = settle(filled.join(classes, (filled.doc_id == classes.rep) & (filled.h1 == classes.h1) & (filled.h2 == classes.h2), "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "halves", "sketch"))
-    members = _members(reps)
-    links, spent = _same_id(filled, classes), [reps, members]
-    ends = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    both = lambda d, x, y: d.select(F.explode(F.array(x, y)).alias("e")).select("e.*").where("a <> b").distinct()
-    pairs = both(members, ends(F.col("doc_id"), F.col("low")), ends(F.col("doc_id"), F.col("high")))
-    tested, parts = None, None
-    for turn in range(ROUNDS):
-        near = settle(_agreeing(pairs, reps))
+    sides = _sides(reps)
+    links, spent, tested = _same_id(filled, classes), [reps, sides], None
+    parts = connected_components(links)
+    for part in range(SLICES):
+        apart, heads = _buckets(sides, parts, part)
+        met = spread_join(apart, heads, ["key"], "n", ["component"])
+        cross = lambda x, y: [F.struct(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")) for u, v in ((f"{x}first", f"{y}last"), (f"{x}last", f"{y}first"))]
+        against = lambda end: F.when(F.col("component") != F.col(f"{end}.component"), F.array(*cross("", f"{end}."))).otherwise(F.array().cast("array<struct<a:long,b:long>>"))
+        pairs = met.select(F.explode(F.array_distinct(F.concat(against("low"), against("high")))).alias("e")).select("e.*").distinct()
+        near = settle(_agreeing(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), reps))
         found = _confirm(near, source, percent, width)
-        release(spark)
-        fresh = found.count()
-        spent += [near, found]
         tested, links = near if tested is None else tested.union(near), links.union(found)
-        if parts is None or fresh:
-            spent += [parts] if parts is not None else []
-            parts = connected_components(links)
-        if not fresh:
-            break
-        # components that share a bucket with others: each against the first component of one of its buckets
-        apart = settle(_named(members.select("key", "doc_id"), parts).groupBy("key", "component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-        heads = settle(apart.groupBy("key").agg(F.min(F.struct("component", "first", "last")).alias("head"), F.count("*").alias("n")).where("n > 1"))
-        met = spread_join(apart, heads, ["key"], "n", ["component"]).where("component <> head.component")
-        one = met.groupBy("component").agg(F.min_by(F.struct("first", "last", "head"), F.struct(F.xxhash64("head.component", F.lit(turn)), "first", "last", "head")).alias("e")).select("e.*")
-        pairs = both(one, ends(F.col("first"), F.col("head.last")), ends(F.col("last"), F.col("head.first"))).join(tested, ["a", "b"], "left_anti")
-        spent += [apart, heads]
-    rest = _untested(members, parts, source, percent, width)
+        spent += [near, found, parts]
+        parts = connected_components(links)
+        for table in (apart, heads):
+            drop_settled(table)
+        release(spark)
+    rest = _untested(sides, parts, source, percent, width)
     if rest is not None:
         near = settle(_agreeing(rest.join(tested, ["a", "b"], "left_anti"), reps))
         found = _confirm(near, source, percent, width)
@@ -199,24 +191,30 @@ def _same_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
     return settle(rows.groupBy("doc_id").agg(F.collect_set("rep").alias("r")).select(F.array_min("r").alias("a"), F.explode("r").alias("b")).where("a <> b"))
 
 
-def _members(reps: DataFrame) -> DataFrame:
-    """(key, doc_id, low, high): table buckets of two documents and more, with their members and ends, settled."""
-    spark = reps.sparkSession
+def _sides(reps: DataFrame) -> DataFrame:
+    """(doc_id, halves): the small collisions that a document shares with another one, settled."""
     single = reps.select("doc_id", F.explode("halves").alias("half"))
     shared = settle(single.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("half", "n"))
-    release(spark)
+    release(reps.sparkSession)
     sides = settle(spread_join(single, shared, ["half"], "n", ["doc_id"]).groupBy("doc_id").agg(F.collect_set("half").alias("halves")))
     drop_settled(shared)
-    release(spark)
+    release(reps.sparkSession)
+    return sides
+
+
+def _keyed(sides: DataFrame, parts: DataFrame, part: int) -> DataFrame:
+    """(doc_id, component, key): the keys of one part of the tables, all pairs of a document's collisions of either collection."""
     side = lambda k: F.filter("halves", lambda x: x.bitwiseAND(F.lit(1)) == k)
-    keyed = sides.select("doc_id", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
-    buckets = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high"))
-    release(spark)
-    out = settle(spread_join(keyed, buckets, ["key"], "n", ["doc_id"]))
-    drop_settled(sides)
-    drop_settled(buckets)
-    release(spark)
-    return out
+    keys = F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))
+    return _named(sides, parts).select("doc_id", "component", F.explode(F.filter(keys, lambda k: F.pmod(k, F.lit(SLICES)) == part)).alias("key"))
+
+
+def _buckets(sides: DataFrame, parts: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
+    """The components of each bucket with their least and greatest document, and of buckets of several the end components."""
+    apart = settle(_keyed(sides, parts, part).groupBy("key", "component").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    whole = F.struct("component", "first", "last")
+    heads = settle(apart.groupBy("key").agg(F.min(whole).alias("low"), F.max(whole).alias("high"), F.count("*").alias("n")).where("n > 1"))
+    return apart, heads
 
 
 def _named(d: DataFrame, parts: DataFrame) -> DataFrame:
@@ -295,14 +293,18 @@ def _matches(percent: int):
     return run
 
 
-def _untested(members: DataFrame, parts: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame | None:
-    """Pairs of several components that may be similar, of all documents that the ends of a bucket have left untested; null if none are."""
-    spark = members.sparkSession
-    inner = settle(_named(members.where("doc_id <> low and doc_id <> high").select("key", "doc_id"), parts))
-    open_ = settle(inner.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n"))
-    ids = settle(spread_join(inner, open_, ["key"], "n", ["doc_id"]).select("doc_id").distinct())
-    for table in (inner, open_):
-        drop_settled(table)
+def _untested(sides: DataFrame, parts: DataFrame, source: DataFrame, percent: int, width: int) -> DataFrame | None:
+    """Pairs of several components that may be similar, of all documents of buckets that the ends of components may have left untested; null if none are."""
+    spark = sides.sparkSession
+    ids = None
+    for part in range(SLICES):
+        keyed = settle(_keyed(sides, parts, part))
+        open_ = settle(keyed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y and n > 3").select("key", "n"))
+        some = settle(spread_join(keyed, open_, ["key"], "n", ["doc_id"]).select("doc_id").distinct())
+        ids = some if ids is None else ids.union(some)
+        drop_settled(keyed)
+        drop_settled(open_)
+    ids = settle(ids.distinct())
     if ids.isEmpty():
         drop_settled(ids)
         return None

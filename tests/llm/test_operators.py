@@ -451,3 +451,117 @@ def test_no_link_of_many_pairs_on_one_template_is_lost(spark):
     assert len(a & b) / len(a | b) >= 0.8 and len(a & shingles(rows[2][1])) / len(a | shingles(rows[2][1])) < 0.7
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(5000)}
+
+
+def by_hand(m, key="k"):
+    """The pseudonym of a value, by the Feistel network written anew."""
+    import datetime
+
+    def network(left, right, a, b, kind):
+        for i in range(8):
+            shift = int(hashlib.sha256(f"{key}|{kind}|{a}|{b}|{i}|{right if i % 2 == 0 else left}".encode()).hexdigest()[:15], 16)
+            left, right = ((left + shift) % a, right) if i % 2 == 0 else (left, (right + shift) % b)
+        return left, right
+
+    def permuted(d, kind):
+        half = len(d) // 2
+        left, right = network(int(d[:half]), int(d[half:]), 10**half, 10 ** (len(d) - half), kind)
+        return f"{left:0{half}d}{right:0{len(d) - half}d}"
+
+    def laid(d):
+        d = iter(d)
+        return "".join(next(d) if c.isdigit() else c for c in m)
+
+    d = "".join(c for c in m if c.isdigit())
+    if m.count(".") == 3:
+        o = [int(x) for x in m.split(".")]
+        left, right = network(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if m.count("-") == 2 and len(d) == 8:
+        start = datetime.date(1800, 1, 1)
+        left, right = network(*divmod((datetime.date.fromisoformat(m) - start).days, 773), 189, 773, "date")
+        return str(start + datetime.timedelta(left * 773 + right))
+    if m.count("-") == 2 and len(d) == 9:
+        area, group, serial = (int(x) for x in m.split("-"))
+        left, right = network(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
+        left += 1 + (left + 1 >= 666)
+        return f"{left:03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
+    if len(d) == 10:
+        left, right = network(int(d[:3]) - 200, int(d[3:]) - 2_000_000, 800, 8_000_000, "phone")
+        return laid(f"{left + 200}{right + 2_000_000}")
+    body = d[0] + permuted(d[1:-1], "card")
+    total = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(body)))
+    return laid(body + str(-total % 10))
+
+
+def test_pseudonyms_equal_a_network_written_anew(spark):
+    values = ["4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "5555555555554444", "2021-03-04", "1800-01-01", "2199-12-30", "123-45-6789", "667-01-0001", "899-99-9999", "10.0.0.1", "255.255.255.255", "0.0.0.0", "366-555-9807", "(212) 555-0100", "999 999-9999"]
+    rows = [(i, f"first {v}, then {v}; last") for i, v in enumerate(values)]
+    got = [r["text"] for r in pii.pseudonymize(docs(spark, rows), "k").orderBy("doc_id").collect()]
+    assert got == [f"first {by_hand(v)}, then {by_hand(v)}; last" for v in values]
+    assert all(by_hand(v) != v for v in values)
+
+
+def test_pseudonyms_in_very_long_texts(spark):
+    n = 1_000_000
+    end = " and a.b@x.com"
+    texts = ["x@" + "a." * (n // 2), "a." * (n // 2) + "@", "1" * n, "1." * (n // 2), "@" * n, "x@" * (n // 2), "a" * n, "+" * n, "-1" * (n // 2), "key=" + "z" * n]
+    got = pii.pseudonymize(docs(spark, [(i, t + end) for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()
+    assert [r["text"][: len(t) - 20] == t[:-20] for r, t in zip(got, texts)][:8] == [True] * 8  # the last four of "1.1.1." are an address
+    assert all("a.b@x.com" not in r["text"][-40:] and r["text"].endswith("@x.com") for r in got) and "zzzz" not in got[-1]["text"]
+
+
+def test_columns_of_clashing_names_stay(spark):
+    df = docs(spark, [(1, "mail a@b.org"), (2, None)], extra=False).withColumns({c: F.lit(f"own {c}") for c in ("matches", "sorts", "new", "x", "_x", "score_", "Kept_Id", "order")})
+    hidden = pii.pseudonymize(df, "k").collect()
+    scored = quality.score(df, quality.Rules(0.5, [(1.0, ((0, True, 3.0),))])).collect()
+    assert all(r[c] == f"own {c}" for r in [*hidden, *scored] for c in df.columns[2:])
+
+
+def test_scores_equal_the_rules_in_numpy(spark):
+    sf = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rules = quality.train(sf, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = quality.with_inputs(quality.score(sf, rules), "text", "inputs").select("score", "inputs.*").collect()
+    x = np.array([list(r)[1:] for r in rows], float)
+    assert len(rules.rules) > 3 and np.abs(rules.predict(x) - np.array([r[0] for r in rows])).max() < 1e-9
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster():
+    class Far:
+        class sparkContext:
+            master = "spark://far:7077"
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        def isEmpty(self):
+                            return True
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Far)
+
+
+def test_pipeline_of_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, text + " x", "en", "b", 9), (3, None, "en", "a", 0), (3, "other words " * 9, "en", "a", 9), (None, "lost", "en", "a", 4), (None, "lost", "en", "a", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
+    assert sorted(tuple(r) for r in got if r[0]) == [rows[0], rows[4]] and [r[1] for r in got if r[0] is None] == ["lost"]
+
+
+def test_pipeline_leaves_only_what_its_result_reads(spark):
+    import os
+
+    import corpus_pipeline
+
+    top = shared.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    result = corpus_pipeline.run(spark, SF)
+    left = [x for x in os.listdir(top) if x not in before]
+    read = {f.rsplit("/", 2)[1] for f in result.inputFiles()}
+    assert result.count() > 0 and read <= set(left) and len(left) <= len(read) + 3
