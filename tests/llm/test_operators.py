@@ -313,8 +313,45 @@ def test_main_text(spark):
     assert by[3]["text"] == "Head & line\nOne3 two three\nFour five\nitem" and by[3]["n_chars"] == len(by[3]["text"])
     assert by[20]["text"] == "" and by[21]["text"] == "plain" and by[22]["n_chars"] == 0
     assert wrappers.main_texts(df.limit(0)).count() == 0
-    found = wrappers.wrappers(df).where("host = 'h0.example.com'").first()
-    assert '"main": true' in found["wrapper"] and 1 <= found["n_pages"] <= wrappers.SAMPLE
+    read_pages = wrappers.streams(df)
+    found = wrappers.wrappers(read_pages.select("host", "shape").distinct()).where("host = 'h0.example.com'").first()
+    assert wrappers.show(wrappers.load(found["wrapper"])).count("<article>") == 1
+
+
+@pytest.mark.parametrize("body, article", [("home has-sidebar", ""), ("page comments-open", ""), ("single header-image", ""), ("", "post tag-share")])
+def test_names_of_what_holds_the_text_mean_nothing(spark, body, article):
+    page = lambda i: f'<html><body class="{body}"><nav><a href="x">menu {i}</a></nav><article class="{article}"><h1>Title {i}</h1><p>{"words " * 30}{i}</p><div class="share">post it {i}</div></article></body></html>'
+    df = spark.createDataFrame([(i, f"http://a.example.com/{i}", page(i)) for i in range(5)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.main_texts(df).collect()} == {i: f"Title {i}\n{'words ' * 30}{i}" for i in range(5)}
+
+
+def test_texts_of_generated_templates_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda n: " ".join(rng.choice(["sun", "moon", "star", "sea", "wind"]) + str(rng.randrange(99)) for _ in range(n))
+    rows, expected = [], {}
+    for host in range(12):
+        main, name = rng.choice(["article", "main", "div"]), rng.choice(["", ' class="body-7 sidebar-left"', ' id="c12"'])
+        menu, fixed, ends = rng.random() < 0.5, word(5), rng.random() < 0.5
+        for k in range(14):
+            blocks = [word(rng.randrange(8, 40)) for _ in range(rng.randrange(1, 6))]
+            links = "".join(f'<li><a href="/{i}">{word(1)}</a></li>' for i in range(rng.randrange(2, 6)))
+            top = f"<nav><ul>{links}</ul></nav>" if menu else f'<div><ul>{links}</ul></div>'
+            notes = "".join(f'<div class="comment"><p>{word(3)}</p></div>' for _ in range(rng.randrange(0, 4)))
+            html = f"<html><head><title>{word(2)}</title></head><body>{top}<div><p>{fixed}</p></div><{main}{name}>{''.join(f'<p>{b}</p>' for b in blocks)}{notes}</{main}>{'<footer>' + word(4) + '</footer>' if ends else ''}</body></html>"
+            rows.append((100 * host + k, f"http://h{host}.example.com/{k}", html))
+            expected[100 * host + k] = "\n".join(blocks)
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+
+
+def test_the_wrapper_decides(spark):
+    """The same page on two hosts: what is a menu of links, a fixed line or the text depends on the host's wrapper."""
+    shown = '<body><div class="box"><p><a href="x">one two three</a></p></div><div class="row"><p>said by all</p></div></body>'
+    one = [(i, f"http://one.example.com/{i}", f'<body><div class="box"><p>long words of a text {i} and more of it</p></div><div class="row"><p>said by all</p></div></body>') for i in range(1, 9)]
+    two = [(i, f"http://two.example.com/{i}", f'<body><div class="box"><p><a href="x">link {i}</a></p></div><div class="row"><p>the words of page {i}</p></div></body>') for i in range(11, 19)]
+    df = spark.createDataFrame([(0, "http://one.example.com/0", shown), *one, (10, "http://two.example.com/0", shown), *two], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(df).collect()}
+    assert got[0] == "one two three" and got[10] == "said by all" and got[1].startswith("long words") and got[12] == "the words of page 12"
 
 
 def test_templates_are_shares_of_distinct_pages(spark):
@@ -328,8 +365,15 @@ def test_templates_are_shares_of_distinct_pages(spark):
 
 
 def test_wrapper_alignment():
-    a, b = wrappers.shape("<ul><li>x</li><li>y</li></ul><p>z"), wrappers.shape("<ul><li>x</li></ul><b>q</b><p>z")
-    assert wrappers.show(wrappers.align(a, b)) == "<ul>(<li>#</li>)+</ul>(<b>)?(#)?(</b>)?<p>#"
+    read = lambda page: wrappers.items_of(wrappers.read(page)[0])
+    a, b, c = read("<ul><div>x</div><div>y</div></ul><p>z"), read("<ul><div>x</div></ul><section>q</section><p>z"), read("<ul></ul><p>z")
+    assert wrappers.show(wrappers.infer([a, b])) == "<ul>(<div>#</div>)+</ul>(<section>)?(#)?(</section>)?#"
+    whole = wrappers.infer([a, b, c])
+    assert wrappers.show(whole) == "<ul>((<div>#</div>)+)?</ul>(<section>)?(#)?(</section>)?#" and wrappers.load(wrappers.dump(whole)) == whole
+    for page, texts in ((a, 3), (b, 3), (c, 1)):
+        grown, where = wrappers.align(whole, page)
+        assert len(grown) == len(whole) and len(where) == texts
+    assert wrappers.show(wrappers.infer([wrappers.infer([a, b]), wrappers.infer([c, a])])) == wrappers.show(whole)
 
 
 def test_warc_round_trip(spark):
