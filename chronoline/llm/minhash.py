@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from chronoline.llm.shared import MIX, Weights, chunks, connected_components, drop_settled, frugal, mix64, release, settle, spread_join, text_bytes
 
 WEIGHTS = Weights(0x9E3779B97F4A7C15)
-SIDE, HALF, FLOOR, SLICES = 8, 2, 10, 4
+SIDE, HALF, FLOOR, SLICES = 8, 2, 10, 2
 #: Counters (a power of two) by which shingles are ordered, documents in a block, rows in a task of the prefix filter.
 CELLS, BLOCK, ROWS = 1 << 18, 1024, 100_000
 

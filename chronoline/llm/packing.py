@@ -93,7 +93,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end: int = 0, key: st
             raw, offsets = text_bytes(batch.column(1))
             keys = batch.column(0).to_pylist()
             out = []
-            for i, j in chunks(offsets, 1 << 19):
+            for i, j in chunks(offsets, 1 << 18):
                 for k, ids in enumerate(encoder(path).encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), i):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for p, s in enumerate(range(0, len(ids), capacity)):

@@ -16,7 +16,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own bound.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Keys with more than 1 / HOT of all rows are dealt to SPREAD partitions each; there are HOT of them at most.
 HOT, SPREAD = 1_000, 64
 _written: list[list[str]] = []
@@ -95,8 +95,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     and become a literal of the plan. `weight` of right is dropped. The weights are read first: settle what holds them.
     """
     counts, right = (right, right.drop(weight)) if counts is None else (counts, right)
-    limit = max(100, (counts.agg(F.sum(weight)).first()[0] or 0) // HOT)
-    hot = [r[0] for r in counts.where(F.col(weight) > limit).select(F.xxhash64(*keys)).collect()]
+    total, most = (x or 0 for x in counts.agg(F.sum(weight), F.max(weight)).first())
+    limit = max(100, total // HOT)
+    hot = [r[0] for r in counts.where(F.col(weight) > limit).select(F.xxhash64(*keys)).collect()] if most > limit else []
     if not hot:
         return left.join(right, keys, how)
     is_hot = F.xxhash64(*keys).isin(hot)

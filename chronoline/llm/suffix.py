@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from chronoline.llm.shared import MIX, Powers, chunks, drop_settled, frugal, mix64, ragged_take, release, settle, spread_join, text_bytes
 
 POWERS = Powers(0xC2B2AE3D27D4EB4F)
-GRAMS, MOST, BATCH, STEP = (100, 150, 180, 195), 64, 1_500_000, 1 << 18
+GRAMS, MOST, BATCH, STEP = (100, 150, 180, 195), 64, 600_000, 1 << 18
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):

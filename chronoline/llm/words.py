@@ -14,7 +14,7 @@ OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 WEIGHTS = Weights(0x2545F4914F6CDD1D)
-PIECES = 4_000_000
+PIECES = 2_000_000
 
 
 @lru_cache(1)
@@ -81,12 +81,13 @@ def odd_rows(cp: np.ndarray, bounds: np.ndarray, normalized: bool) -> np.ndarray
 class WordTable:
     """Encoded distinct words by a hash of 128 bits, emptied when it holds `most` words or PIECES ids: memory stays bounded whatever the vocabulary."""
 
-    def __init__(self, encode, most: int = 300_000):
+    def __init__(self, encode, most: int = 150_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[tuple[int, int], int] = {}
+        self.row: dict[int, int] = {}
+        self.second = [np.zeros(0, np.uint64)]
         self.start, self.size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.flat: list[np.ndarray] = []
         self.total = 0
@@ -99,14 +100,15 @@ class WordTable:
         code, names = pd.factorize(first_hash)
         second = np.zeros(len(names), np.uint64)
         second[code] = second_hash
-        if (second[code] != second_hash).any():  # two words share 64 bits: tell them apart by all 128
-            names, code = np.unique(np.stack([first_hash, second_hash], axis=1), axis=0, return_inverse=True)
-            names, code = [tuple(x) for x in names.tolist()], code.ravel()
-        else:
-            names = list(zip(names.tolist(), second.tolist()))
-        if len(self.row) + len(names) > self.most or self.total > PIECES:
+        if (second[code] != second_hash).any():  # two words of the batch share 64 bits: tell them apart by all 128, and keep neither
+            both, code = np.unique(np.stack([first_hash, second_hash], axis=1), axis=0, return_inverse=True)
+            names, second, code = both[:, 0] ^ both[:, 1], both[:, 1], code.ravel()
             self.clear()
-        rows = np.array([self.row.get(h, -1) for h in names], np.int64)
+        elif len(self.row) + len(names) > self.most or self.total > PIECES:
+            self.clear()
+        rows = np.array([self.row.get(h, -1) for h in names.tolist()], np.int64)
+        if len(self.second[0]):
+            rows[(rows >= 0) & (self.second[0][rows] != second)] = -1  # another word of the same 64 bits gives way
         fresh = np.flatnonzero(rows < 0)
         if len(fresh):
             first = np.full(len(names), len(code), np.int64)
@@ -115,9 +117,10 @@ class WordTable:
             sub = cp[ragged_take(s, e - s)].astype("<u4").tobytes().decode("utf-32-le")
             cuts = np.concatenate([[0], np.cumsum(e - s)]).tolist()
             flat, size = self.encode([sub[a:b] for a, b in zip(cuts, cuts[1:])])
-            base = len(self.row)
+            base = len(self.second[0])
             rows[fresh] = base + np.arange(len(fresh))
-            self.row.update(zip((names[i] for i in fresh.tolist()), range(base, base + len(fresh))))
+            self.row.update(zip(names[fresh].tolist(), range(base, base + len(fresh))))
+            self.second = [np.concatenate([self.second[0], second[fresh]])]
             self.start.append(self.total + np.cumsum(size) - size)
             self.size.append(size)
             self.flat.append(flat)
