@@ -222,7 +222,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         vocab = vocabulary(path, pattern)
         for batch in batches:
             raw, offsets = text_bytes(batch.column(len(names)))
-            for i, j in chunks(offsets, 1 << 19):
+            for i, j in chunks(offsets, 1 << 20):
                 rows = [x.astype(np.int32) for x in vocab.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(rows)))
@@ -240,7 +240,7 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             out = []
-            for i, j in chunks(offsets, 1 << 19):
+            for i, j in chunks(offsets, 1 << 20):
                 for ids in vocab.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(vocab.decode(ids)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])

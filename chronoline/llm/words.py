@@ -14,7 +14,7 @@ OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 WEIGHTS = Weights(0x2545F4914F6CDD1D)
-PIECES = 2_000_000
+PIECES = 4_000_000
 
 
 @lru_cache(1)
@@ -69,7 +69,8 @@ def odd_rows(cp: np.ndarray, bounds: np.ndarray, normalized: bool) -> np.ndarray
     """Rows whose words need the exact pattern: a contraction may stand in them or, if a normalizer runs, a shifty code point."""
     bad = np.zeros(len(cp), bool)
     if len(cp) > 1:
-        bad[:-1] = (cp[:-1] == 39) & np.isin(cp[1:] | 32, [ord(c) for c in "strvmld"])
+        at = np.flatnonzero(cp[:-1] == 39)
+        bad[at] = np.isin(cp[at + 1] | 32, [ord(c) for c in "strvmld"])
     bad |= cp == 0x17F
     if normalized:
         bad |= tables()[1][cp]
@@ -81,7 +82,7 @@ def odd_rows(cp: np.ndarray, bounds: np.ndarray, normalized: bool) -> np.ndarray
 class WordTable:
     """Encoded distinct words by a hash of 128 bits, emptied when it holds `most` words or PIECES ids: memory stays bounded whatever the vocabulary."""
 
-    def __init__(self, encode, most: int = 150_000):
+    def __init__(self, encode, most: int = 300_000):
         self.encode, self.most = encode, most
         self.clear()
 
