@@ -69,6 +69,14 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, w: str, at: lis
     return qs.where(hit).select(*by, "q", (F.col(value) + F.when((q >= F.col("_m")) & F.col("_m2").isNotNull(), step).otherwise(0.0)).alias("cut"))
 
 
+def bucket_of(df: DataFrame, value: str, cuts: list[float]) -> DataFrame:
+    """df with `bucket`: the number of cuts below the value."""
+    below = F.lit(0)
+    for c in cuts:
+        below = below + (F.col(value) > c).cast("int")
+    return df.withColumn("bucket", below)
+
+
 def welch(df: DataFrame, by: list[str], group: str, a: str, b: str, value: str) -> DataFrame:
     """(by..., t, dof, p): Welch's test that a's mean is below b's; p is one-sided, 1 where t is not negative."""
     stats = lambda g: [f(F.when(F.col(group) == g, F.col(value))) for f in (F.avg, F.var_samp, F.count)]

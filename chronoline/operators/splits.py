@@ -40,6 +40,24 @@ def overlaps(splits: DataFrame, key: str) -> DataFrame:
     return splits.groupBy(key).agg(F.count_distinct("split").alias("n_splits")).where("n_splits > 1")
 
 
+def debug_limit(splits: DataFrame, key: str, n: int = 1_000) -> DataFrame:
+    """The first n keys of each split: a feature for trying things out, not for results."""
+    rank = F.row_number().over(Window.partitionBy("split").orderBy(key))
+    return splits.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def rows_of_splits(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
+    """rows with the split of their key; keys of no split are dropped."""
+    return rows.join(splits.select(key, "split"), key)
+
+
+def index_slice(df: DataFrame, key: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Rows start to end - 1 by key, with `idx`; either end may be open."""
+    out = dense_index(df, key)
+    out = out.where(F.col("idx") >= start) if start is not None else out
+    return out.where(F.col("idx") < end) if end is not None else out
+
+
 def hash_rank(key: Column, seed: int = 0) -> Column:
     """An arithmetic pseudo-random rank of an integer key."""
     return ((key % 1000003) * 48271 + seed * 7919 + 11) * 69621 % 2147483647

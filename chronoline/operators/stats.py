@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,64 @@ def shares(df: DataFrame, by: str, n: str = "n") -> DataFrame:
     return g.crossJoin(F.broadcast(whole)).select(by, "total", "entries", (F.col("total") / F.col("_t")).alias("share_total"), (F.col("entries") / F.col("_e")).alias("share_entries"))
 
 
+def shares_without(df: DataFrame, by: str, excluded: list[str], n: str = "n") -> DataFrame:
+    """shares of the groups that are not excluded, of what is left."""
+    return shares(df.where(~F.col(by).isin(excluded)), by, n)
+
+
+def with_time_prefix(token: Column) -> Column:
+    """The vocabulary of a token; marks of visits and elapsed time are `ATT`."""
+    return F.when(token.rlike(r"^\[(DAY|WEEK|MONTH|LONG|VISIT)"), "ATT").otherwise(F.split_part(token, F.lit("/"), F.lit(1)))
+
+
+def vocabulary_shares(tokens: DataFrame) -> DataFrame:
+    """(prefix, n, share): tokens by vocabulary, with shares of all."""
+    g = tokens.groupBy(with_time_prefix(F.col("token")).alias("prefix")).agg(F.count("*").alias("n"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("_t")))).select("prefix", "n", (F.col("n") / F.col("_t")).alias("share"))
+
+
+def demographics(events: DataFrame, codes: dict[str, dict[str, str]]) -> DataFrame:
+    """(pid, age, one column for each kind): age group by the span of the timeline, and for each kind the name of the first
+    event whose code is one of its codes. codes: kind to code to name; kinds race and sex are `unknown` without one."""
+    at = F.unix_micros(F.col("start").cast("timestamp"))
+    days = (F.max_by(at, "event_idx") - F.min_by(at, "event_idx")) / 86_400_000_000
+    firsts = []
+    for kind, names in codes.items():
+        name = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("code")]
+        first = F.min_by(name, F.when(name.isNotNull(), F.col("event_idx")))
+        firsts.append((F.coalesce(first, F.lit("unknown")) if kind in ("race", "sex") else first).alias(kind))
+    return events.groupBy("pid").agg(age_bucket(days).alias("age"), *firsts)
+
+
+def label_stats_with_all(labels: DataFrame, by: list[str], split: str = "split") -> DataFrame:
+    """label_stats for each split and, as split `all`, over all of them."""
+    doubled = labels.withColumn(split, F.explode(F.array(F.col(split), F.lit("all"))))
+    return label_stats(doubled, [*by, split])
+
+
+def position_entropy(scores: DataFrame, entropies: DataFrame) -> DataFrame:
+    """(token_idx, entropy): the mean entropy of the labels at each position; labels without one are left out."""
+    return scores.join(entropies.select("label", "entropy"), "label", "left").groupBy("token_idx").agg(F.avg("entropy").alias("entropy"))
+
+
+def length_distribution(tokens: DataFrame) -> DataFrame:
+    """(n_tokens, patients) from token rows."""
+    return tokens.groupBy("pid").agg(F.count("*").alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("patients"))
+
+
+def first_tokens(rollouts: DataFrame, k: int = 10) -> DataFrame:
+    """rollouts with `first`: the first k tokens of each, without what follows the code."""
+    return rollouts.withColumn("first", F.transform(F.slice("tokens", 1, k), lambda t: F.split_part(t, F.lit(" || "), F.lit(1))))
+
+
+def token_rows(scores: DataFrame, names: DataFrame) -> DataFrame:
+    """Scored tokens with label_ppl, argmax_ppl, the tokens of both ids, and the code before the first ` || `; names: (token_id, token)."""
+    name = lambda c, to: names.select(F.col("token_id").alias(c), F.col("token").alias(to))
+    out = scores.withColumns({"label_ppl": F.exp(-F.col("label_log_prob")), "argmax_ppl": F.exp(-F.col("argmax_log_prob"))})
+    out = out.join(name("label_id", "label"), "label_id", "left").join(name("argmax_id", "argmax"), "argmax_id", "left")
+    return out.withColumn("label_code", F.split_part("label", F.lit(" || "), F.lit(1)))
+
+
 def percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
     """(percentile, value): linear interpolation."""
     q = df.agg(F.percentile(value, F.array(*(F.lit(a / 100) for a in at))).alias("q"))

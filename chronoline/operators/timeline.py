@@ -140,7 +140,9 @@ def admissions_of(events: DataFrame) -> DataFrame:
 def _prediction(admissions: DataFrame, deaths: DataFrame, hours: int) -> DataFrame:
     far = F.lit("9999-12-31").cast("timestamp")
     rows = admissions.select("pid", F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end")).distinct()
-    rows = rows.join(deaths.select("pid", F.col("death").cast("timestamp").alias("death")), "pid", "left").withColumn("death", F.coalesce("death", far))
+    once = deaths.groupBy("pid").agg(F.min(F.col("death").cast("timestamp")).alias("death"), F.count_distinct("death").alias("_times"))
+    once = once.withColumn("death", F.when(F.col("_times") > 1, F.raise_error(F.lit("a patient has more than one death")).cast("timestamp")).otherwise(F.col("death"))).drop("_times")
+    rows = rows.join(once, "pid", "left").withColumn("death", F.coalesce("death", far))
     at = F.timestamp_micros(F.unix_micros("start") + hours * 3_600_000_000)
     return rows.withColumn("prediction_time", at).where("prediction_time < end and prediction_time < death")
 
@@ -156,6 +158,13 @@ def long_stay(admissions: DataFrame, deaths: DataFrame, hours: int = 48, days: i
     return _prediction(admissions, deaths, hours).select("pid", "prediction_time", longer.alias("label"))
 
 
+def label_events(events: DataFrame, task: str, hours: int = 48) -> DataFrame:
+    """(subject_id, prediction_time, boolean_value) of a task for all timelines: admissions and deaths come from the events."""
+    deaths = events.where(F.col("code").startswith("MEDS_DEATH")).select("pid", F.col("start").alias("death")).distinct()
+    out = LABELERS[task](admissions_of(events), deaths, hours)
+    return out.select(F.col("pid").alias("subject_id"), "prediction_time", F.col("label").alias("boolean_value"))
+
+
 LABELERS = {"death": in_hospital_mortality, "long_los": long_stay}
 
 

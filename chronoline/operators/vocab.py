@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoline.functions.expressions import category_token, prefix, range_token
 
 SPECIALS = ["[BOS]", "[EOS]", "[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]"]
-ATT = [f"[DAY {i}]" for i in range(1, 7)] + [f"[WEEK {i}]" for i in range(1, 5)] + [f"[MONTH {i}]" for i in range(1, 13)] + ["[LONG TERM]", "[VISIT START]", "[VISIT END]"]
 
 
 def unique_codes(events: DataFrame) -> DataFrame:
@@ -118,8 +115,50 @@ def describe(vocab: DataFrame, texts: DataFrame) -> DataFrame:
     return vocab.drop("description").join(texts, "code", "left")
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+def describe_events(events: DataFrame, vocab: DataFrame) -> DataFrame:
+    """events with `token`, the description of their code; of several entries of a code the last one with a description counts."""
+    texts = vocab.where("description is not null").groupBy("code").agg(F.max_by("description", "entry_idx").alias("token"))
+    return events.drop("token").join(texts, "code", "left")
+
+
+def description_texts(described: DataFrame) -> DataFrame:
+    """(pid, text, words): the descriptions of a timeline in order, joined by a space, and the words between white space."""
+    rows = described.groupBy("pid").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("event_idx", "token")))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["token"]), " ")
+    return rows.select("pid", text.alias("text")).withColumn("words", F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+
+
+def token_events(tokenized: DataFrame) -> DataFrame:
+    """(pid, pos, event_idx, token): one token an event at most, in order, events without a token dropped."""
+    kept = tokenized.where("token is not null")
+    return kept.select("pid", (F.row_number().over(Window.partitionBy("pid").orderBy("event_idx")) - 1).alias("pos"), "event_idx", "token")
+
+
+def tokenizable(tokenized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events that have a token, and those that have none."""
+    return tokenized.where("token is not null"), tokenized.where("token is null")
+
+
+def is_numeric(events_value: Column) -> Column:
+    return events_value.isNotNull()
+
+
+def is_textual(events_text: Column) -> Column:
+    return F.coalesce(events_text != "", F.lit(False))
+
+
+def ids_of(tokens: DataFrame, ids: DataFrame, required: bool = True) -> DataFrame:
+    """tokens with token_id; a token without an id fails if required, else it is the unknown one."""
+    out = tokens.join(ids.select("token", "token_id"), "token", "left")
+    missing = F.raise_error(F.concat(F.lit("no id of token "), F.col("token"))).cast("int") if required else F.lit(SPECIALS.index("[UNK]"))
+    return out.withColumn("token_id", F.coalesce("token_id", missing))
+
+
+def special_entries(tokens: DataFrame) -> DataFrame:
+    """(token, token_id): the special tokens and the entries after them; of equal tokens the last id counts."""
+    spark = tokens.sparkSession
+    specials = spark.createDataFrame(list(enumerate(SPECIALS)), "token_id int, token string").select("token", "token_id")
+    return specials.unionByName(token_ids(tokens))
 
 
 def categorical_entries(events: DataFrame) -> DataFrame:
@@ -134,11 +173,15 @@ def visit_tokens(events: DataFrame, starts: bool = True, ends: bool = True, days
     an end gives one [VISIT END], before the first later event of its group that starts after it, else before the next
     visit, else last. Between visits the whole days since the previous end give [DAY n] (up to 1080) or [LONG TERM], or
     days, weeks and months; no days give the longest day token, as position -1 of the list of day tokens.
+
+    close_on_visit_only: the other variant. Every visit counts, those of zero length too; an open visit closes before the
+    first event after its end or at the next visit; there is no [VISIT START], nothing closes at the end of the timeline,
+    and a visit that starts before the previous end fails.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     w = Window.partitionBy("pid").orderBy("event_idx")
     e = events.withColumns({"s": micros("start"), "t": micros("end")})
-    real = F.col("is_visit") & ~(F.col("t").isNotNull() & (F.col("s") == F.col("t")))
+    real = F.col("is_visit") & (F.lit(close_on_visit_only) | ~(F.col("t").isNotNull() & (F.col("s") == F.col("t"))))
     e = e.withColumn("real", F.coalesce(real, F.lit(False)))
     e = e.withColumn("vseq", F.sum(F.col("real").cast("int")).over(w))
     e = e.withColumns({"vend": F.last(F.when(F.col("real"), F.struct("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["t"], "pend": F.last(F.when(F.col("real"), F.struct("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["t"]})
@@ -151,10 +194,13 @@ def visit_tokens(events: DataFrame, starts: bool = True, ends: bool = True, days
         att = F.when(gap.between(1, 1080), F.format_string("[DAY %d]", gap)).when(gap == 0, "[DAY 1080]").when(gap > 1080, "[LONG TERM]")
     else:
         att = F.when(gap == 0, "[DAY 6]").when(gap.between(1, 6), F.format_string("[DAY %d]", gap)).when(gap.between(7, 29), F.format_string("[WEEK %d]", F.floor(gap / 7))).when(gap.between(30, 359), F.format_string("[MONTH %d]", F.floor(gap / 30))).when(gap >= 360, "[LONG TERM]")
+    if close_on_visit_only:
+        starts = False
+        att = F.when(gap < 0, F.raise_error(F.lit("a visit starts before the end of the previous one")).cast("string")).otherwise(att)
     yes = lambda on, test, mark: F.when(F.lit(on) & test, mark)
     # a visit whose group had no later event closes before the next visit, or at the end of the timeline
     before_visit = F.col("real") & (F.col("vseq") > 1) & F.col("open_end").isNull() & F.col("pend").isNotNull()
-    after_last = (F.col("event_idx") == F.col("last_idx")) & (F.col("vseq") > 0) & F.col("close_at").isNull() & F.col("vend").isNotNull()
+    after_last = F.lit(not close_on_visit_only) & (F.col("event_idx") == F.col("last_idx")) & (F.col("vseq") > 0) & F.col("close_at").isNull() & F.col("vend").isNotNull()
     inside = F.col("event_idx") == F.col("close_at")
     skip = F.col("is_visit") & ~F.col("real")
     own = F.array(yes(ends, before_visit | inside, "[VISIT END]"), F.when(F.col("real"), att), yes(starts, F.col("real"), "[VISIT START]"), F.when(~skip, F.col("token")), yes(ends, after_last, "[VISIT END]"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +12,9 @@ from chronoline.operators import splits as P
 from chronoline.operators import stats as A
 from chronoline.operators import timeline as T
 from chronoline.operators import vocab as V
+from chronoline.registry import ORACLE_SQL, QUERIES, register
 from chronoline.schema import admissions, predictions, table, timelines, token_scores
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: Common table expressions of the SQL side: the adapters of schema.py.
 TL = "tl AS (SELECT user_id AS pid, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS event_idx, event_type AS code, value AS value_num, json_extract_string(props, '$.k') AS value_str, ts AS start, event_id FROM events)"
 ADM = "adm AS (SELECT o_custkey AS pid, o_orderkey AS hadm_id, o_orderdate AS start, max(l_shipdate) AS stop FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
@@ -29,20 +25,10 @@ VOC = f"""{TL}, cuts AS (SELECT code, quantile_cont(value_num, [0.0,0.1,0.2,0.3,
     buckets AS (SELECT code, b::INT AS bucket, CASE WHEN b = 0 THEN '-inf'::DOUBLE ELSE q[b + 1] END AS range_start, CASE WHEN b = 9 THEN 'inf'::DOUBLE ELSE q[b + 2] END AS range_end FROM cuts, range(10) r(b))"""
 BOOT = """boot AS (SELECT b, x3 % n AS idx, count(*) AS w FROM (
       SELECT i // n AS b, n, (((x1 * x1) % 2147483647 * 69621) + i // n) % 2147483647 AS x3 FROM (
-        SELECT i, n, ((i // n * 1000003 + i % n * 7919 + 12345) % 2147483647) * 48271 % 2147483647 AS x1 FROM (SELECT count(*) AS n FROM labels), range(20 * (SELECT count(*) FROM labels)) r(i))) GROUP BY ALL)"""
+        SELECT i, n, ((i // n * 1000003 + i % n * 7919 + 12345) % 2147483647) * 48271 % 2147483647 AS x1 FROM (SELECT count(*) AS n FROM labels), range(1000 * (SELECT count(*) FROM labels)) r(i))) GROUP BY ALL)"""
 HASH = "(((({k}) % 1000003) * 48271 + 0 * 7919 + 11) * 69621 % 2147483647)"
 
 
-def register(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _finite(c: str) -> F.Column:
     return F.when(F.col(c) == float("inf"), 1e308).when(F.col(c) == float("-inf"), -1e308).otherwise(F.round(c, 6))
 
@@ -194,7 +180,7 @@ def repetition_rate(spark, d):
     return T.repetition_rates(T.ngram_counts(timelines(spark, d)))
 
 
-@register(f"WITH RECURSIVE {TL}, f AS (SELECT * FROM tl WHERE event_idx < 40), run AS (SELECT a.pid, a.event_idx AS i, b.event_idx AS j, 1 AS len FROM f a JOIN f b ON a.pid = b.pid AND a.event_idx < b.event_idx AND a.code = b.code UNION ALL SELECT r.pid, r.i, r.j, r.len + 1 FROM run r JOIN f a ON a.pid = r.pid AND a.event_idx = r.i + r.len JOIN f b ON b.pid = r.pid AND b.event_idx = r.j + r.len AND a.code = b.code), best AS (SELECT pid, max(len) AS length FROM run GROUP BY pid) SELECT p.pid, coalesce(length, 0)::BIGINT AS length, coalesce((SELECT min(i) FROM run r WHERE r.pid = p.pid AND r.len = best.length), 0)::BIGINT AS start_idx FROM (SELECT DISTINCT pid FROM tl) p LEFT JOIN best ON best.pid = p.pid")
+@register(f"WITH RECURSIVE {TL}, f AS (SELECT * FROM tl), run AS (SELECT a.pid, a.event_idx AS i, b.event_idx AS j, 1 AS len FROM f a JOIN f b ON a.pid = b.pid AND a.event_idx < b.event_idx AND a.code = b.code UNION ALL SELECT r.pid, r.i, r.j, r.len + 1 FROM run r JOIN f a ON a.pid = r.pid AND a.event_idx = r.i + r.len JOIN f b ON b.pid = r.pid AND b.event_idx = r.j + r.len AND a.code = b.code), best AS (SELECT pid, max(len) AS length FROM run GROUP BY pid) SELECT p.pid, coalesce(length, 0)::BIGINT AS length, coalesce((SELECT min(i) FROM run r WHERE r.pid = p.pid AND r.len = best.length), 0)::BIGINT AS start_idx FROM (SELECT DISTINCT pid FROM tl) p LEFT JOIN best ON best.pid = p.pid")
 def longest_repeat(spark, d):
     return T.longest_repeat(timelines(spark, d))
 
@@ -481,7 +467,7 @@ def best_baseline_delta(spark, d):
     return x.groupBy("family").agg(F.round(F.avg("delta"), 6).alias("mean_delta"), F.sum((F.col("delta") > 0).cast("long")).alias("wins"))
 
 
-@register(f"WITH {PRICES}, f AS (SELECT task, family, value FROM v WHERE family < 'Brand#3'), a AS (SELECT DISTINCT task FROM f), b AS (SELECT DISTINCT family FROM f) SELECT a.task, b.family, f.value FROM a CROSS JOIN b LEFT JOIN f ON f.task = a.task AND f.family = b.family")
+@register(f"WITH {PRICES}, f AS (SELECT task, family, value FROM v), a AS (SELECT DISTINCT task FROM f), b AS (SELECT DISTINCT family FROM f) SELECT a.task, b.family, f.value FROM a CROSS JOIN b LEFT JOIN f ON f.task = a.task AND f.family = b.family")
 def densified_results(spark, d):
     return A.densify(_prices(spark, d), "task", "family", "value", "value")
 
@@ -530,3 +516,6 @@ def min_length_patients(spark, d):
 def lab_remaps(spark, d):
     v = F.col("s_acctbal")
     return table(spark, d, "supplier").select("s_suppkey", X.remap_quantile(v, [0, 5000, 9000]).alias("q"), X.remap_range(v, [(-1000, 1000), (1000, 5000)]).alias("r"))
+
+
+import chronoline.more_queries  # noqa: E402,F401  registers the rest

@@ -29,16 +29,3 @@ def test_query(spark, db, name):
     got, expected = QUERIES[name](spark, SF).toPandas(), db.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert cells(got) == cells(expected)
-
-
-@pytest.mark.parametrize("name", ["auroc_weighted", "bootstrap_ci_brier", "auroc_delta_ci", "win_rate", "weighted_quartile_cuts"])
-def test_bootstrap_of_a_thousand_replicates(spark, db, name):
-    sql = ORACLE_SQL[name].replace("20 *", "1000 *").replace("* 20", "* 1000")
-    assert sql != ORACLE_SQL[name]
-    assert cells(QUERIES[name](spark, SF).toPandas()) == cells(db.execute(sql).df())
-
-
-def test_densified_results_of_all_brands(spark, db):
-    sql = ORACLE_SQL["densified_results"].replace(" WHERE family < 'Brand#3'", "")
-    assert sql != ORACLE_SQL["densified_results"]
-    assert cells(QUERIES["densified_results"](spark, SF).toPandas()) == cells(db.execute(sql).df())

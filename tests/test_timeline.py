@@ -105,3 +105,66 @@ def test_longest_repeat_reads_whole_timelines(spark):
         expected[pid] = (best[0], -best[1])
     got = {r["pid"]: (r["length"], r["start_idx"]) for r in QUERIES["longest_repeat"](spark, SF).collect() if r["pid"] in codes}
     assert max(map(len, codes.values())) > 40 and got == expected
+
+
+def batches_by_rule(lengths, max_tokens, context, max_examples, mult):
+    """The greedy fold written anew: sizes of the batches."""
+    out, held = [], []
+    for n in lengths:
+        n = min(n, context)
+        while held and (len(held) + 1) * max([*held, n]) > max_tokens:
+            keep = max(1, len(held) // mult * mult)
+            out.append(held[:keep])
+            held = held[keep:]
+        held.append(n)
+        if len(held) == max_examples:
+            out.append(held)
+            held = []
+    return [len(b) for b in [*out, held] if b]
+
+
+@pytest.mark.parametrize("mult,most", [(1, 99), (4, 99), (2, 5), (3, 2)])
+def test_batches_with_multiples(spark, mult, most):
+    rows = [("train", i, n) for i, n in enumerate(sorted(LENGTHS * 3, reverse=True))]
+    df = spark.createDataFrame(rows, "split string, rank long, length long")
+    out = sequence.batches(df, 60, 30, most, mult)
+    sizes = [r["count"] for r in out.groupBy("batch_idx").count().orderBy("batch_idx").collect()]
+    assert sizes == batches_by_rule([r[2] for r in rows], 60, 30, most, mult)
+    assert max(sizes) <= most and all((n % mult == 0 or n < mult or n == most) for n in sizes[:-1])
+    late = sequence.batches(df, 60, 30, most, mult, start=len(sizes) - 1).count()
+    assert late == sizes[-1] and (most < 99 or sequence.batches(df, 60, 30, most, mult, start=10**6).count() >= 1)
+
+
+def test_loader(spark):
+    rows = [(i, 5 + i * 37 % 90) for i in range(300)]
+    df = spark.createDataFrame(rows, "pid long, length long")
+    train = sequence.loader(df, "train", 400, 100, 16).orderBy("rank").collect()
+    plain = sequence.loader(df, "val", 400, 100, 16).orderBy("rank").collect()
+    assert sorted(r["pid"] for r in train) == sorted(r["pid"] for r in plain) == list(range(300)) and [r["rank"] for r in train] == list(range(300))
+    assert [r["length"] for r in plain] == sorted((n for _, n in rows), reverse=True) and [r["length"] for r in train] != [r["length"] for r in plain]
+    assert sequence.accumulation(16_384) == 4
+    with pytest.raises(ValueError):
+        sequence.accumulation(10_000)
+
+
+def test_visits_of_the_other_variant(spark):
+    rows = [(True, 0, 2, "a"), (False, 1, None, "e"), (True, 3, 3, "z"), (False, 4, None, "f"), (True, 9, 12, "b"), (False, 10, None, "g")]
+    assert visits(spark, rows, close_on_visit_only=True) == ["a", "e", "[VISIT END]", "[DAY 1]", "z", "[VISIT END]", "f", "[DAY 6]", "b", "g"]
+    with pytest.raises(Exception, match="before the end"):
+        visits(spark, [(True, 0, 5, "a"), (True, 1, 6, "b")], close_on_visit_only=True)
+
+
+def test_one_death_a_patient(spark):
+    a = spark.createDataFrame([(1, "2020-01-01", "2020-01-09")], "pid long, start string, end string")
+    dead = lambda *t: spark.createDataFrame([(1, x) for x in t], "pid long, death string")
+    assert [r["label"] for r in timeline.in_hospital_mortality(a, dead("2020-01-05", "2020-01-05")).collect()] == [True]
+    with pytest.raises(Exception, match="more than one death"):
+        timeline.in_hospital_mortality(a, dead("2020-01-05", "2020-02-05")).collect()
+
+
+def test_exact_join_fails_where_times_differ(spark):
+    f = spark.createDataFrame([(1, 10, 0.5)], "pid long, time long, value double")
+    at = lambda t: spark.createDataFrame([(1, t)], "pid long, label_time long")
+    assert timeline.asof_join(f, at(10), exact=True).first()["value"] == 0.5
+    with pytest.raises(Exception, match="no feature"):
+        timeline.asof_join(f, at(11), exact=True).collect()
