@@ -388,17 +388,34 @@ def test_warc_round_trip(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(payload), hashlib.sha1(payload).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("revisit", 7) if revisit else ("response", None))
     assert warc.round_trip(df.limit(0)).count() == 0
+    copies = spark.createDataFrame([(i, f'http://c.example.com/{i}', big) for i in range(300)], 'page_id long, url string, html string')
+    assert {tuple(r) for r in warc.round_trip(copies).select('payload_bytes', 'refers_to').collect()} == {(1803, 299), (1803, None)}
 
 
 def test_index_search():
-    lines = sorted(f"com,example,h{i % 7})/{i:04d} {i}" for i in range(1000))
-    first = lines[:: warc.LINES]
-    blocks = [zlib.compress("\n".join(f"{k}\ta\t{n}\t1" for n, k in list(enumerate(lines))[i : i + warc.LINES]).encode()) for i in range(0, 1000, warc.LINES)]
-    assert all(warc.search(first, blocks, k) == [("a", n, 1)] for n, k in enumerate(lines))
-    assert warc.search(first, blocks, "com,example,h0)/x") == []
+    lines = sorted(f"com,example,h{i % 7})/{i:04d}\t{i}\ta\t{i}\t1" for i in range(1000)) + ["org)/\t1\ta\t5\t1"] * 600
+    blocks = [lines[i : i + warc.LINES] for i in range(0, len(lines), warc.LINES)]
+    first, packed = [b[0].split("\t")[0] for b in blocks], [zlib.compress("\n".join(b).encode()) for b in blocks]
+    assert all(warc.search(first, packed, f"com,example,h{i % 7})/{i:04d}") == [(str(i), "a", i, 1)] for i in range(1000))
+    assert warc.search(first, packed, "com,example,h0)/x") == [] and len(warc.search(first, packed, "org)/")) == 600
     assert warc.surt("http://user@www.Example.com:81/A?b#c") == "com,example:81)/a?b"
 
 
+def test_captures_of_a_host(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 100)
+    pages = [(i, f"http://{'abc'[i % 3]}.example.com/{i % 40}", f"<p>{i}") for i in range(900)] + [(2000 + i, "http://z.example.org/", "<p>z") for i in range(400)]
+    archives = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    index = warc.build_index(archives)
+    top = warc.directory(index)
+    assert len(top) > 5 and all(a[1] <= b[0] for a, b in zip(top, top[1:]))
+    for prefix, host in (("com,example,b)", "//b."), ("com,example", ".com/"), ("org,example,z)/", "z.example.org"), ("net", "none")):
+        got = sorted(int(r["id"]) for r in warc.captures_of(index, prefix).collect())
+        assert got == sorted(p for p, url, _ in pages if host in url)
+    keys = spark.createDataFrame([("org,example,z)/",), ("com,example,a)/3",), ("com,nobody)/",)], "key string")
+    got = sorted(int(r["id"]) for r in warc.locate(keys, index).collect())
+    assert got == sorted(p for p, url, _ in pages if url in ("http://z.example.org/", "http://a.example.com/3"))
+
+
 def test_media_round_trip(spark):
     rows = [r for r in NOISE if r[0] is not None]
     got = media.carve(media.store(docs(spark, rows)), "doc_id").collect()
