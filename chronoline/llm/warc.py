@@ -242,7 +242,9 @@ def _fetch(left: pa.Table, right: pa.Table) -> pa.Table:
 def read_records(located: DataFrame, archives: DataFrame) -> DataFrame:
     """Records cut out of their archives by offset and length, (page_id, url, payload_bytes, payload_digest, record_type,
     refers_to); a revisit has its response's payload. An archive is one value of a table that only Spark need reach."""
-    rows = settle(located.groupBy("archive").cogroup(archives.select("archive", "warc").groupBy("archive")).applyInArrow(_fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"))
+    tasks = max(1, archives.count() // 4)  # a few archives a task, however many there are
+    whole = archives.select("archive", "warc").repartition(tasks, "archive").groupBy("archive")
+    rows = settle(located.repartition(tasks, "archive").groupBy("archive").cogroup(whole).applyInArrow(_fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"))
     keys = ["refers_to", "payload_digest"]
     again = rows.where("record_type = 'revisit'")
     full = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("bytes"))
