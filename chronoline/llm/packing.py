@@ -24,7 +24,7 @@ from chronoline.llm.bpe import Merges
 from chronoline.llm.shared import chunks, frugal, settle, text_bytes
 from chronoline.llm.words import WordTable, code_points, odd_rows, split
 
-NODE, FAN, CARRY, SLACK = 16_384, 8, 4_096, 8
+NODE, FAN, CARRY, SLACK = 16_384, 8, 16_384, 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -151,7 +151,8 @@ def pack_round(bins: DataFrame, capacity: int, last: bool) -> DataFrame:
         done |= last
         take = np.concatenate([np.arange(starts[i], ends[i]) for b in packed for i in b])
         cuts = np.concatenate([[0], np.cumsum([sum(ends[i] - starts[i] for i in b) for b in packed])])
-        items = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), lists.values.take(pa.array(take)))
+        values = lists.values.take(pa.array(take))  # fields that the input says are never null are so no longer
+        items = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(values.flatten(), names=[f.name for f in values.type]))
         node = pa.array(np.full(len(packed), table.column("node")[0].as_py() // FAN, np.int64))
         return pa.Table.from_arrays([node, pa.array(done), pa.array(total), items], names=["node", "done", "fill", "items"])
 

@@ -249,6 +249,9 @@ def test_packing_in_a_tree(spark, monkeypatch):
     rows = [(i, 0, 0, rng.choice([3, 50, 700, 1500, 2048]), 1) for i in range(1500)]
     got = packing.pack(spark.createDataFrame(rows, packing.PIECE)).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(1500))
+    ids = F.col("id")
+    never_null = spark.range(300).select(ids.alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (ids % 900 + 1).alias("length"), ids.alias("ids_crc32"))
+    assert packing.pack(never_null).count() == 300
     assert len({r["sequence_id"] for r in got}) <= 1.05 * len(packing.best_fit(np.array([r[3] for r in rows]), 2048))
 
 
