@@ -28,6 +28,49 @@ def dense_index(df: DataFrame, key: str, name: str = "idx", width: int = 65_536)
     return ranged.withColumn("_rank", rank).join(before, "_range").withColumn(name, F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before")
 
 
+#: Ranges into which the values of a whole table are cut before they are ordered.
+RANGES = 256
+
+
+def running_counts(counts: DataFrame, value: str, n: str, by: list[str] | None = None) -> DataFrame:
+    """counts (by..., value, n; each value once) with `_before`, the rows of smaller values.
+
+    With groups, a group's distinct values are ordered together. Without, values are cut into RANGES ranges at
+    approximate percentiles (collected, so that both uses of them agree): a task orders one range, and only the sums of
+    the ranges meet in one task.
+    """
+    if by:
+        return counts.withColumn("_before", F.sum(n).over(Window.partitionBy(*by).orderBy(value)) - F.col(n))
+    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 10_000)).first()[0]
+    at = F.size(F.filter(F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    ranged = counts.withColumn("_range", at)
+    sums = ranged.groupBy("_range").agg(F.sum(n).alias("_s"))
+    offsets = sums.select("_range", (F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).alias("_offset"))
+    own = F.sum(n).over(Window.partitionBy("_range").orderBy(value)) - F.col(n)
+    return ranged.withColumn("_own", own).join(F.broadcast(offsets), "_range").withColumn("_before", F.col("_offset") + F.col("_own")).drop("_range", "_own", "_offset")
+
+
+def at_positions(ranked: DataFrame, value: str, n: str, positions: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., q): the values at shares of the way from the first to the last row, interpolated between neighbours.
+
+    ranked: (by..., value, n, _before). One aggregation picks the neighbours; no buffer holds a group's values.
+    """
+    total = ranked.groupBy(*(by or [])).agg(F.sum(n).alias("_total"))
+    known = ranked.join(F.broadcast(total), by) if by else ranked.crossJoin(F.broadcast(total))
+    place = lambda p: F.lit(p) * (F.col("_total") - 1)
+    pick = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col(n)), F.col(value).cast("double")))
+    picks = [x for i, p in enumerate(positions) for x in (pick(F.floor(place(p))).alias(f"_l{i}"), pick(F.ceil(place(p))).alias(f"_h{i}"))]
+    found = known.groupBy(*(by or [])).agg(F.max("_total").alias("_total"), *picks)
+    cut = lambda i, p: F.col(f"_l{i}") + (place(p) - F.floor(place(p))) * (F.col(f"_h{i}") - F.col(f"_l{i}"))
+    return found.select(*(by or []), F.array(*(cut(i, p) for i, p in enumerate(positions))).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, value: str, positions: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., q): exact quantiles by counts of distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*(by or []), value).agg(F.count("*").alias("_n"))
+    return at_positions(running_counts(counts, value, "_n", by), value, "_n", positions, by)
+
+
 def positional_split(df: DataFrame, key: str, train: float = 0.8, tuning: float = 0.1) -> DataFrame:
     """The first share of rows by key is train, the next tuning, the rest held_out."""
     n = df.agg(F.count("*").alias("_total"))

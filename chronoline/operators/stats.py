@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoline.operators.splits import exact_quantiles, running_counts
+
 
 def code_counts(events: DataFrame, split: str = "split") -> DataFrame:
     """(split, code, n_events, n_patients) per split and over all, in one pass of grouping sets."""
@@ -79,16 +81,16 @@ def token_rows(scores: DataFrame, names: DataFrame) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
     """(percentile, value): linear interpolation."""
-    q = df.agg(F.percentile(value, F.array(*(F.lit(a / 100) for a in at))).alias("q"))
+    q = exact_quantiles(df, value, [a / 100 for a in at])
     return q.select(F.posexplode("q").alias("i", "value")).select(F.get(F.array(*(F.lit(float(a)) for a in at)), F.col("i")).alias("percentile"), "value")
 
 
 def frequency_cdf(df: DataFrame, value: str) -> DataFrame:
-    """(value, n, cdf): counts of values and their cumulative share; one row per value is ordered, not the rows."""
+    """(value, n, cdf): counts of values and their cumulative share; values are ordered range by range."""
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_t"))
-    running = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("_r", running).crossJoin(F.broadcast(total)).select(value, "n", (F.col("_r") / F.col("_t")).alias("cdf"))
+    running = running_counts(counts, value, "n").withColumn("_r", F.col("_before") + F.col("n"))
+    return running.crossJoin(F.broadcast(total)).select(value, "n", (F.col("_r") / F.col("_t")).alias("cdf"))
 
 
 def histogram_cdf(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -155,7 +157,8 @@ def position_medians(scores: DataFrame, value: str = "ppl", least: int = 30) ->
     ranked = scores.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy(value)) - 1}).where(n >= least)
     lo = F.greatest(F.lit(0), F.floor(0.5 * n - 1.96 * F.sqrt(n) / 2))
     hi = F.least(n - 1, F.ceil(0.5 * n + 1.96 * F.sqrt(n) / 2))
-    return ranked.groupBy("token_idx", "n").agg(F.median(value).alias("median"), F.max(F.when(F.col("r") == lo, F.col(value))).alias("lower"), F.max(F.when(F.col("r") == hi, F.col(value))).alias("upper"))
+    middle = F.avg(F.when((F.col("r") == F.floor((n - 1) / 2)) | (F.col("r") == F.ceil((n - 1) / 2)), F.col(value)))
+    return ranked.groupBy("token_idx", "n").agg(middle.alias("median"), F.max(F.when(F.col("r") == lo, F.col(value))).alias("lower"), F.max(F.when(F.col("r") == hi, F.col(value))).alias("upper"))
 
 
 def ema(positions: DataFrame, value: str, span: int = 20) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoline.operators.splits import at_positions, running_counts
+
 DAY = 86_400_000_000
 
 
@@ -104,6 +106,20 @@ def timeline_lengths(events: DataFrame, by: list[str] = ["pid"]) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("n_events"), F.count_distinct("code").alias("n_unique_events"))
 
 
+def lengths_as_of(events: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pid, label_time, n_events, n_unique_events) up to and including each label's time, of labels with an event.
+
+    Labels and events of a patient are sorted once; running counts serve all labels, so that no label is joined with
+    all events before it. The first event of each code counts as a different one.
+    """
+    first = F.row_number().over(Window.partitionBy("pid", "code").orderBy("start", "event_idx")) == 1
+    e = events.select("pid", F.col("start").alias("t"), F.lit(0).alias("side"), F.lit(1).alias("n"), first.cast("int").alias("new"))
+    l = labels.select("pid", F.col("label_time").alias("t"), F.lit(1).alias("side"), F.lit(0).alias("n"), F.lit(0).alias("new")).distinct()
+    w = Window.partitionBy("pid").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    out = e.unionByName(l).withColumns({"n_events": F.sum("n").over(w), "n_unique_events": F.sum("new").over(w)}).where("side = 1 and n_events > 0")
+    return out.select("pid", F.col("t").alias("label_time"), "n_events", "n_unique_events")
+
+
 def quartiles(df: DataFrame, value: str, by: list[str] | None = None, key: str = "pid") -> DataFrame:
     """df with `quartile` 0..3: right-closed bins at the quartiles of the minimum ranks; equal bin edges fail.
 
@@ -111,11 +127,9 @@ def quartiles(df: DataFrame, value: str, by: list[str] | None = None, key: str =
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = counts.withColumn("_rank", (F.sum("_n").over(w) - F.col("_n") + 1).cast("double"))
-    q = F.percentile("_rank", F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0))), F.col("_n"))
-    cuts = ranked.groupBy(*by).agg(q.alias("_q"))
-    cuts = cuts.withColumn("_q", F.when(F.size(F.array_distinct("_q")) == 5, F.col("_q")).otherwise(F.raise_error(F.lit("bin edges must be unique")).cast("array<double>")))
+    ranked = running_counts(counts, value, "_n", by).withColumn("_rank", (F.col("_before") + 1).cast("double"))
+    cuts = at_positions(ranked, "_rank", "_n", [0.0, 0.25, 0.5, 0.75, 1.0], by)
+    cuts = cuts.withColumn("_q", F.when(F.size(F.array_distinct("q")) == 5, F.col("q")).otherwise(F.raise_error(F.lit("bin edges must be unique")).cast("array<double>"))).drop("q")
     known = ranked.join(F.broadcast(cuts), by) if by else ranked.crossJoin(F.broadcast(cuts))
     r = F.col("_rank")
     bucket = F.when(r <= F.get("_q", F.lit(1)), 0).when(r <= F.get("_q", F.lit(2)), 1).when(r <= F.get("_q", F.lit(3)), 2).otherwise(3)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoline.functions.expressions import category_token, prefix, range_token
+from chronoline.operators.splits import exact_quantiles
 
 SPECIALS = ["[BOS]", "[EOS]", "[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]"]
 
@@ -26,8 +27,10 @@ def numeric_buckets(events: DataFrame, n: int = 10, exact: bool = True) -> DataF
     """
     values = events.where("value_num is not null").select("code", F.coalesce("unit", F.lit("None")).alias("unit"), "value_num")
     at = F.array(*(F.lit(i / n) for i in range(n + 1)))
-    cuts = F.percentile("value_num", at) if exact else F.percentile_approx("value_num", at, 100_000)
-    edges = values.groupBy("code", "unit").agg(cuts.alias("cuts"))
+    if exact:
+        edges = exact_quantiles(values, "value_num", [i / n for i in range(n + 1)], ["code", "unit"]).withColumnRenamed("q", "cuts")
+    else:
+        edges = values.groupBy("code", "unit").agg(F.percentile_approx("value_num", at, 100_000).alias("cuts"))
     i = F.col("bucket")
     out = edges.select("code", "unit", "cuts", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"))
     return out.select("code", "unit", "bucket", F.when(i == 0, F.lit(float("-inf"))).otherwise(F.get("cuts", i)).alias("range_start"), F.when(i == n - 1, F.lit(float("inf"))).otherwise(F.get("cuts", i + 1)).alias("range_end"))

@@ -192,7 +192,7 @@ LAB = "lab AS (SELECT pid, start AS label_time FROM tl WHERE code = 'signup')"
 def timeline_lengths_asof(spark, d):
     e = timelines(spark, d)
     labels = e.where("code = 'signup'").select("pid", F.col("start").alias("label_time"))
-    return T.timeline_lengths(T.as_of(e, labels), ["pid", "label_time"])
+    return T.lengths_as_of(e, labels)
 
 
 @register(f"WITH {TL}, lab AS (SELECT pid, start AS label_time, event_id FROM tl WHERE code = 'purchase'), ft AS (SELECT pid, start AS time, value_num AS value FROM tl WHERE code = 'view') SELECT lab.pid, label_time, event_id, time AS feature_time, value FROM lab ASOF LEFT JOIN ft ON lab.pid = ft.pid AND label_time >= time")
