@@ -405,12 +405,16 @@ def checkpoint_crossings(spark, d):
     return A.crossings(e, "pid", "event_idx", "v", 100000).withColumn("crossed", F.col("crossed").cast("long"))
 
 
-def _replicates(spark, d, n: int = 1000) -> DataFrame:
-    """(model, b, y, p, w) of the reference's 1,000 replicates: draws are summed for each score before they are shuffled."""
-    p = predictions(spark, d)
-    people = P.dense_index(p.select("pid").distinct(), "pid")
+def _draws(spark, d, n: int = 1000) -> DataFrame:
+    """(model, b, y, p): the draws of the reference's 1,000 replicates; a person's rows, one a model, join a draw as one row."""
+    people = P.dense_index(predictions(spark, d).groupBy("pid").agg(F.collect_list(F.struct("model", "y", "p")).alias("rows")), "pid").select("idx", "rows")
     draws = E.bootstrap_draws(spark, people.count(), n)
-    return draws.join(p.join(people, "pid"), "idx").groupBy("model", "b", "y", "p").agg(F.count("*").alias("w"))
+    return draws.join(people, "idx").select("b", F.inline("rows"))
+
+
+def _replicates(spark, d, n: int = 1000) -> DataFrame:
+    """(model, b, y, p, w) of the replicates: draws are summed for each score before they are shuffled."""
+    return _draws(spark, d, n).groupBy("model", "b", "y", "p").agg(F.count("*").alias("w"))
 
 
 REP = f"{PR}, people AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS idx FROM (SELECT DISTINCT pid FROM pr)), {BOOT}, rep AS (SELECT pr.*, b, w FROM pr JOIN people USING (pid) JOIN boot USING (idx))"
@@ -424,7 +428,8 @@ def auroc_weighted(spark, d):
 
 @register(f"WITH {REP}, br AS (SELECT model, b, sum(w * (y - p) * (y - p)) / sum(w) AS brier FROM rep GROUP BY ALL), q AS (SELECT model, avg(brier) AS mean, quantile_cont(brier, [0.025, 0.5, 0.975]) AS q FROM br GROUP BY 1) SELECT model, round(mean, 9) AS mean, round(q[1], 9) AS lower, round(q[2], 9) AS median, round(q[3], 9) AS upper, q[1] > 0 OR q[3] < 0 AS significant, q[1] > 0 AND q[3] > 0 AS wins FROM q")
 def bootstrap_ci_brier(spark, d):
-    out = E.interval(E.brier(_replicates(spark, d), ["model", "b"]), ["model"], "brier")
+    # a sum over draws needs no scores to be told apart: one aggregation, a row a replicate and model is shuffled
+    out = E.interval(E.brier(_draws(spark, d).withColumn("w", F.lit(1)), ["model", "b"]), ["model"], "brier")
     return out.withColumns({c: F.round(c, 9) for c in ("mean", "lower", "median", "upper")})
 
 
