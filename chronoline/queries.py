@@ -484,7 +484,9 @@ def macro_average(spark, d):
 
 @register("SELECT o_custkey, max(o_totalprice) AS best_value, arg_max(o_orderkey, o_totalprice) AS best_order FROM orders GROUP BY 1")
 def max_checkpoint(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("best_value"), F.max_by("o_orderkey", "o_totalprice").alias("best_order"))
+    # of equal prices the least key, the first in the table, which arg_max takes; rows without a key or price are none of them
+    rank = F.when(F.col("o_orderkey").isNotNull() & F.col("o_totalprice").isNotNull(), F.struct("o_totalprice", F.bitwise_not("o_orderkey")))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("best_value"), F.max_by("o_orderkey", rank).alias("best_order"))
 
 
 @register("WITH l AS (SELECT CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END AS split, length, n_unique FROM (SELECT ((user_id % 1000003) * 2654435761 % 2147483647 + 97) % 100 AS h, count(*) AS length, count(DISTINCT event_type) AS n_unique FROM events GROUP BY user_id)) SELECT split, count(*)::BIGINT AS n_patients, " + ", ".join(f"min({c})::BIGINT AS min_{c}, round(avg({c}), 2) AS mean_{c}, median({c}) AS median_{c}, max({c})::BIGINT AS max_{c}" for c in ("length", "n_unique")) + " FROM l GROUP BY split")

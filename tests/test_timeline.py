@@ -2,12 +2,13 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from chronoline.functions import expressions as X
 from chronoline.operators import evaluation, sequence, timeline, vocab
-from chronoline.queries import QUERIES
+from chronoline.queries import ORACLE_SQL, QUERIES
 from chronoline.schema import timelines
 
 SF = "/root/testdata/sf0.001"
@@ -168,3 +169,13 @@ def test_exact_join_fails_where_times_differ(spark):
     assert timeline.asof_join(f, at(10), exact=True).first()["value"] == 0.5
     with pytest.raises(Exception, match="no feature"):
         timeline.asof_join(f, at(11), exact=True).collect()
+
+
+def test_equal_best_values_give_the_first_key(spark, tmp_path):
+    rows = [(7, 1, 5.0), (3, 1, 9.0), (4, 1, 9.0), (9, 1, 9.0), (None, 1, 9.0), (1, 2, None), (2, 2, 1.0), (5, 3, None)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"set threads = 1; create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    expected = sorted(con.execute(ORACLE_SQL["max_checkpoint"]).fetchall())
+    assert sorted(map(tuple, QUERIES["max_checkpoint"](spark, str(tmp_path)).collect())) == expected == [(1, 9.0, 3), (2, 1.0, 2), (3, None, None)]
