@@ -5,15 +5,17 @@ queries every shard in blocks. A beam that comes back full of links is widened f
 vectors below the threshold. Each block is audited against all vectors of the shard: hash-chosen queries, AUDITED at a
 time, until AUDITED of them have links other than to themselves or AUDIT_MOST were looked at. The recall of each
 audited query counts alike, so that a large group of copies does not hide what is lost of small ones. Below AUDIT the
-block's beam doubles, for all queries but those that the audit has already shown in full, up to the whole shard. A block whose audit has no link at
-all has nothing to lose by it and keeps its beam. The measured recall is in the
+block's beam doubles, up to the whole shard; the audited queries alone find that beam, then all are searched with it.
+A block whose audit has no link at all has nothing to lose by it and keeps its beam. The measured recall is in the
 result if `with_recall` is set.
 
 Links are confirmed by the cosine in double precision; each task emits link counts and a spanning forest, never pairs,
 and the forests are joined by connected components.
 
-Shards are SHARDS, or as many as keep a shard within SHARD vectors, whichever is more, so memory is bounded; blocks
-hold about BLOCK queries. Vectors of different dimensions link with nothing of another dimension. Null, empty or zero
+Shards are SHARDS, or as many as keep a shard within SHARD vectors, whichever is more, and blocks hold about BLOCK
+queries. A task holds one shard's graph (vectors as wide as the column has them, links of 32 bits), one block and
+ROOM bytes of each working array; graphs travel in rows of PIECE bytes, and hits are confirmed, counted and reduced to a
+forest as they are found, so no array grows with a group of copies or with the table. Vectors of different dimensions link with nothing of another dimension. Null, empty or zero
 vectors and those with null or non-finite components link with nothing. Repeated rows count as separate vectors with
 the same vec_id; an empty table gives an empty result; extra columns are ignored.
 """
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, connected_components, drop_settled, find_roots, mix64, settle, spread_join
+from chronoline.llm.shared import MIX, connected_components, drop_settled, find_roots, mix64, settle, spread_join, trim
 
 SHARDS, SHARD, BLOCK, DEGREE, BEAM, AUDIT, AUDITED, AUDIT_MOST, WAYS = 8, 65_536, 16_384, 12, 48, 0.995, 48, 1_536, 4
+#: Bytes of a working array and of a row that holds a piece of a graph; edges that a task holds before it reduces them.
+ROOM, PIECE, EDGES = 32 << 20, 1 << 20, 1 << 18
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +92,11 @@ def choose(x: np.ndarray, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, de
     return out
 
 
+def x_bytes(x: np.ndarray) -> int:
+    """Bytes of a vector of x."""
+    return max(1, x.shape[1] * x.itemsize)
+
+
 class Graph:
     """Layers of links over unit vectors x; layer 0 holds all nodes, each higher layer the first of them."""
 
@@ -101,8 +110,15 @@ class Graph:
         for k in range(int(level[0]) if len(level) else 0, -1, -1):
             self.layers.append(self._layer(int((level >= k).sum()), 2 * DEGREE if k == 0 else DEGREE))
 
+    @classmethod
+    def of(cls, x: np.ndarray, layers: list[np.ndarray]) -> Graph:
+        """A graph that was built before, of the same vectors in its own order."""
+        graph = cls.__new__(cls)
+        graph.x, graph.layers = x, layers
+        return graph
+
     def _layer(self, n: int, degree: int) -> np.ndarray:
-        x, links = self.x, np.full((n + 1, degree), -1)
+        x, links = self.x, np.full((n + 1, degree), -1, np.int32)
         done = min(n, 256)
         s = x[:done] @ x[:done].T
         np.fill_diagonal(s, -2)
@@ -132,10 +148,14 @@ class Graph:
         order = np.argsort(to, kind="stable")
         to, back = to[order], back[order]
         nodes, first, count = np.unique(to, return_index=True, return_counts=True)
-        for lo in range(0, len(nodes), 2048):
-            a, c = nodes[lo : lo + 2048], count[lo : lo + 2048]
-            width = int(c.max())
-            at = first[lo : lo + 2048, None] + np.arange(width)
+        order = np.argsort(-count, kind="stable")
+        nodes, first, count = nodes[order], first[order], count[order]
+        lo = hi = 0
+        while hi < len(nodes):  # the most wanted nodes first, so that few of them share a wide array
+            width = int(count[hi])
+            lo, hi = hi, hi + min(2048, max(1, ROOM // (2 * x_bytes(self.x) * (degree + width))))
+            a, c = nodes[lo:hi], count[lo:hi]
+            at = first[lo:hi, None] + np.arange(width)
             more = np.where(np.arange(width) < c[:, None], back[np.minimum(at, len(back) - 1)], -1)
             more[(more[:, :, None] == links[a][:, None, :]).any(2)] = -1
             ids = np.concatenate([links[a], more], 1)
@@ -157,25 +177,22 @@ class Graph:
         return beam_search(self.x, self.layers[-1], q, at, min(beam, len(self.x)))
 
 
-def _search(graph: Graph, q: np.ndarray, rows: np.ndarray, low: np.float32, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, node) of similarity >= low that beams find; a beam more than three quarters full of them is widened."""
+def _search(graph: Graph, q: np.ndarray, rows: np.ndarray, low: np.float32, beam: int):
+    """Pairs (row, node) of similarity >= low that beams find, in parts; a beam more than three quarters full of them is widened."""
     n = len(graph.x)
-    who, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     left, wide = rows, min(beam, n)
     while len(left):
         full = [np.zeros(0, np.int64)]
-        step = max(16, 2048 * BEAM // wide)
+        step = max(16, min(2048 * BEAM // wide, ROOM // n))
         for lo in range(0, len(left), step):
             part = left[lo : lo + step]
             ids, sims = graph.search(q[part], wide)
             hit = (sims >= low) & (ids >= 0)
             again = (hit.sum(1) > wide * 3 // 4) & (wide < n)
             r, c = np.nonzero(hit & ~again[:, None])
-            who.append(part[r])
-            what.append(ids[r, c])
+            yield part[r], ids[r, c]
             full.append(part[again])
         left, wide = np.concatenate(full), min(4 * wide, n)
-    return np.concatenate(who), np.concatenate(what)
 
 
 def audit_of(graph: Graph, q: np.ndarray, own: np.ndarray, low: np.float32) -> tuple[np.ndarray, np.ndarray]:
@@ -196,48 +213,73 @@ def audit_of(graph: Graph, q: np.ndarray, own: np.ndarray, low: np.float32) -> t
     return np.concatenate(rows), np.concatenate(links)
 
 
-def linked(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Pairs (query, node of the graph's order) that the audited search finds, the mean recall of the audited queries
-    with links (1 if none has any), and how many those are."""
-    low = np.float32(threshold - 1e-3)
-    own = np.full(len(q), -1) if own is None else own
+def beam_of(graph: Graph, q: np.ndarray, low: np.float32, own: np.ndarray) -> tuple[int, float, int]:
+    """The beam that the audited queries of q need, their mean recall with it (1 if none has links), and how many have links."""
     rows, true = audit_of(graph, q, own, low)
     place = np.full(len(q), -1)
     place[rows] = np.arange(len(rows))
     beam = BEAM
-    who, what = _search(graph, q, np.arange(len(q)), low, beam)
     while True:
         got = np.zeros(true.shape, bool)
-        on = place[who] >= 0
-        got[place[who[on]], what[on]] = True
-        each = (got & true).sum(1) / np.maximum(1, true.sum(1))
-        recall = float(each.mean()) if len(rows) else 1.0
+        for who, what in _search(graph, q, rows, low, beam):
+            got[place[who], what] = True
+        recall = float(((got & true).sum(1) / np.maximum(1, true.sum(1))).mean()) if len(rows) else 1.0
         if recall >= AUDIT or beam >= len(graph.x):
-            return who, what, recall, len(rows)
+            return beam, recall, len(rows)
         beam *= 2
-        again = np.ones(len(q), bool)
-        again[rows[each == 1]] = False
-        keep = ~again[who]
-        more = _search(graph, q, np.flatnonzero(again), low, beam)
-        who, what = np.concatenate([who[keep], more[0]]), np.concatenate([what[keep], more[1]])
+
+
+def linked(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Pairs (query, node of the graph's order) that the audited search finds, the mean recall of the audited queries
+    with links (1 if none has any), and how many those are."""
+    low = np.float32(threshold - 1e-3)
+    beam, recall, audited = beam_of(graph, q, low, np.full(len(q), -1) if own is None else own)
+    who, what = (np.concatenate(x) for x in zip(*_search(graph, q, np.arange(len(q)), low, beam)))
+    return who, what, recall, audited
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a table as its column has them, float or double."""
     col = table.column("v").combine_chunks()
     col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
+def _unit32(x: np.ndarray) -> np.ndarray:
+    out = np.empty(x.shape, np.float32)
+    for lo in range(0, len(x), 8192):
+        out[lo : lo + 8192] = _unit(x[lo : lo + 8192])
+    return out
+
+
+def _trimmed(run, *tables: pa.Table) -> pa.Table:
+    try:
+        return run(*tables)
+    finally:
+        trim()
 
 
 def _build(table: pa.Table) -> pa.Table:
-    x, names = _unit(_matrix(table)), table.column("vec_id").to_numpy()
-    graph = Graph(x.astype(np.float32), names)
-    held = pickle.dumps((graph, x[graph.order], names[graph.order], table.column("weight").to_numpy()[graph.order]), protocol=5)
-    return pa.table({"dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "graph": pa.array([held], pa.binary())})
+    raw, names, weight = _matrix(table), table.column("vec_id").to_numpy(), table.column("weight").to_numpy()
+    graph = Graph(_unit32(raw), names)
+    held = memoryview(pickle.dumps((graph.layers, raw[graph.order], names[graph.order], weight[graph.order]), protocol=5))
+    pieces = [held[lo : lo + PIECE] for lo in range(0, len(held), PIECE)]
+    same = lambda c: table.column(c).combine_chunks().take(pa.array([0] * len(pieces)))
+    return pa.table({"dim": same("dim"), "shard": same("shard"), "piece": pa.array(range(len(pieces)), pa.int32()), "graph": pa.array(pieces, pa.binary())})
+
+
+def _load(table: pa.Table) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """The graph of its pieces in any order, its vectors as the column had them, their names and weights."""
+    held = b"".join(table.sort_by("piece").column("graph").to_pylist())
+    layers, raw, names, weight = pickle.loads(held)
+    return Graph.of(_unit32(raw), layers), raw, names, weight
 
 
 def _emitted(a, b, n, recall, audited) -> pa.Table:
@@ -245,28 +287,44 @@ def _emitted(a, b, n, recall, audited) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "recall": pa.array(recall, pa.float64()), "audited": pa.array(audited, pa.int64())})
 
 
+def _tree(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges reduced to (node, smallest node reached)."""
+    a, b = np.concatenate(a), np.concatenate(b)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = find_roots(at[: len(a)], at[len(a) :], len(nodes))
+    tree = root != np.arange(len(nodes))
+    return nodes[tree], nodes[root[tree]]
+
+
 def _query(threshold: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _emitted([], [], [], [], [])
-        graph, x, names, weight = pickle.loads(right.column("graph")[0].as_py())
-        q, own = _unit(_matrix(left)), left.column("vec_id").to_numpy()
+        graph, x, names, weight = _load(right)
+        raw, own = _matrix(left), left.column("vec_id").to_numpy()
         order = np.argsort(names, kind="stable")
         at = order[np.minimum(np.searchsorted(names, own, sorter=order), len(names) - 1)]
-        who, what, recall, audited = linked(graph, q.astype(np.float32), threshold, np.where(names[at] == own, at, -1))
-        ok = np.zeros(len(who), bool)
-        for lo in range(0, len(who), 65536):
-            a = slice(lo, lo + 65536)
-            ok[a] = np.einsum("nd,nd->n", q[who[a]], x[what[a]]) >= threshold
-        ok &= own[who] != names[what]
-        who, what = who[ok], what[ok]
-        count = np.bincount(who, weights=weight[what], minlength=len(q)).astype(np.int64)
-        nodes, at = np.unique(np.concatenate([own[who], names[what]]), return_inverse=True)
-        root = find_roots(at[: len(who)], at[len(who) :], len(nodes))
-        tree = root != np.arange(len(nodes))
-        some, edges = np.flatnonzero(count > 0), int(tree.sum())
+        q, low = _unit32(raw), np.float32(threshold - 1e-3)
+        beam, recall, audited = beam_of(graph, q, low, np.where(names[at] == own, at, -1))
+        count, many = np.zeros(len(q)), max(1, ROOM // (4 * 8 * x.shape[1]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for who, what in _search(graph, q, np.arange(len(q)), low, beam):
+            ok = own[who] != names[what]
+            who, what = who[ok], what[ok]
+            for lo in range(0, len(who), many):
+                w, t = who[lo : lo + many], what[lo : lo + many]
+                ok = np.einsum("nd,nd->n", _unit(raw[w]), _unit(x[t])) >= threshold
+                w, t = w[ok], t[ok]
+                count += np.bincount(w, weights=weight[t], minlength=len(q))
+                a.append(own[w])
+                b.append(names[t])
+                if sum(map(len, a)) > len(a[0]) + EDGES:
+                    a, b = ([e] for e in _tree(a, b))
+        a, b = _tree(a, b)
+        count = count.astype(np.int64)
+        some, edges = np.flatnonzero(count > 0), len(a)
         none = [None] * len(some)
-        return _emitted([*own[some], *nodes[tree], None], [*none, *nodes[root[tree]], None], [*count[some], *[None] * edges, None], [*none, *[None] * edges, recall], [*none, *[None] * edges, audited])
+        return _emitted([*own[some], *a, None], [*none, *b, None], [*count[some], *[None] * edges, None], [*none, *[None] * edges, recall], [*none, *[None] * edges, audited])
 
     return run
 
@@ -277,7 +335,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     with_recall adds audited_recall, the least recall that the audit of a block and shard has ended with (1 if no
     audited query has links), and audited, the number of audited queries with links; both are alike in all rows.
     """
-    v = F.col(vector).cast("array<double>")
+    kind = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    v = F.col(vector).cast(f"array<{kind}>")
     big = F.lit(float("inf"))
     fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = settle(df.select(F.col(key).cast("long").alias("vec_id"), F.when(fine, v).alias("v")).select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")).alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")))
@@ -287,11 +346,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     n = classes.count()
     shards, blocks = max(SHARDS, -(-n // SHARD)), max(1, -(-n // BLOCK))
     reps = settle(reps.select("vec_id", "v", "weight", F.size("v").alias("dim"), F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod("h2", F.lit(blocks)).cast("int").alias("block")))
-    graphs = settle(reps.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, graph binary"))
+    graphs = settle(reps.groupBy("dim", "shard").applyInArrow(lambda table: _trimmed(_build, table), "dim int, shard int, piece int, graph binary"))
     asked = reps.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("vec_id", "v", "dim", "shard", "block")
     dealt = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    by = ["dim", "shard", "block"]
-    found = settle(asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(_query(threshold), "a long, b long, n long, recall double, audited long"))
+    by, query = ["dim", "shard", "block"], _query(threshold)
+    found = settle(asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda left, right: _trimmed(query, left, right), "a long, b long, n long, recall double, audited long"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     verdict = settle(classes.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))

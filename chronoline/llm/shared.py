@@ -194,17 +194,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def trim() -> None:
+    """Freed memory goes back to the system: workers are reused and wait between tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def frugal(run):
-    """run over batches, after which freed memory goes back to the system: workers are reused and wait between tasks."""
+    """run over batches, and then trim()."""
 
     def both(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            trim()
 
     return both
 

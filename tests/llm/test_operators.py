@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import difflib
 import hashlib
 import random
 import zlib
@@ -9,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,25 @@ def test_embeddings_equal_brute_force(spark):
     assert audited["audited_recall"] >= hnsw.AUDIT and audited["audited"] > 100
 
 
+def test_a_shard_keeps_little_in_memory(monkeypatch):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=16)
+    x = np.concatenate([one + 0.001 * rng.normal(size=(900, 16)), rng.normal(size=(900, 16))]).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(1800), "v": pa.array([list(v) for v in x], pa.list_(pa.float32())), "weight": np.ones(1800, np.int64), "dim": np.full(1800, 16, np.int32), "shard": np.zeros(1800, np.int32)})
+    monkeypatch.setattr(hnsw, "PIECE", 10_000)
+    monkeypatch.setattr(hnsw, "EDGES", 1_000)
+    monkeypatch.setattr(hnsw, "ROOM", 200_000)
+    pieces = hnsw._build(table)
+    assert pieces.num_rows > 10 and max(len(p) for p in pieces.column("graph").to_pylist()) <= 10_000
+    held = []
+    tree = hnsw._tree
+    monkeypatch.setattr(hnsw, "_tree", lambda a, b: held.append(sum(map(len, a))) or tree(a, b))
+    out = hnsw._query(0.95)(table.select(["vec_id", "v"]), pieces.take(pa.array(rng.permutation(pieces.num_rows))))
+    n = dict((a, n) for a, n in zip(out.column("a").to_pylist(), out.column("n").to_pylist()) if n is not None)
+    assert n == dict.fromkeys(range(900), 899) and max(held) < 899 * 900 / 20  # 809,100 hits, never held at once
+    assert {(a, b) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist()) if b is not None} == {(k, 0) for k in range(1, 900)}
+
+
 def test_audit_ignores_the_query_itself_and_queries_without_links():
     x = np.random.default_rng(1).normal(size=(3000, 24)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
