@@ -155,14 +155,70 @@ def expanded(items: list, units: set) -> list:
     return out
 
 
+class Blocks(difflib.SequenceMatcher):
+    """Python's matcher of longest common blocks without its rule for frequent items, which long sequences lose.
+
+    Its search for one block takes time by the pairs of equal items. Where these are many for the lengths, an automaton
+    of all substrings finds the same block in linear time: the longest, of these the first in a, then the first in b.
+    """
+
+    def __init__(self, a: list[str], b: list[str]):
+        super().__init__(None, a, b, autojunk=False)
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> difflib.Match:
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        if sum(len(self.b2j.get(x, ())) for x in self.a[alo:ahi]) <= 16 * (ahi - alo + bhi - blo):
+            return super().find_longest_match(alo, ahi, blo, bhi)
+        return longest(self.a, alo, ahi, self.b, blo, bhi)
+
+
+def longest(a: list[str], alo: int, ahi: int, b: list[str], blo: int, bhi: int) -> difflib.Match:
+    """The longest block that a[alo:ahi] and b[blo:bhi] share, of equally long ones the first in a, then the first in b."""
+    step: list[dict[str, int]] = [{}]
+    link, length, first = [-1], [0], [0]  # first: behind the first occurrence in b
+    last = 0
+    for j in range(blo, bhi):
+        x, state, at = b[j], len(step), last
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        first.append(j + 1)
+        while at >= 0 and x not in step[at]:
+            step[at][x] = state
+            at = link[at]
+        if at >= 0:
+            to = step[at][x]
+            if length[to] > length[at] + 1:
+                step.append(dict(step[to]))
+                link.append(link[to])
+                length.append(length[at] + 1)
+                first.append(first[to])
+                old, to = to, len(step) - 1
+                while at >= 0 and step[at].get(x) == old:
+                    step[at][x] = to
+                    at = link[at]
+                link[old] = to
+            link[state] = to
+        last = state
+    best, at, size = (alo, blo, 0), 0, 0
+    for i in range(alo, ahi):
+        while at and a[i] not in step[at]:
+            at = link[at]
+            size = length[at]
+        if a[i] in step[at]:
+            at, size = step[at][a[i]], size + 1
+        if size > best[2]:
+            best = (i + 1 - size, first[at] - size, size)
+    return difflib.Match(*best)
+
+
 def align(wrapper: list[tuple], page: list[tuple]) -> tuple[list[tuple], dict]:
     """The wrapper (sign, slots, optional) generalised to the page (sign, leaves[, optional]), and the slot of each place of the page."""
     units = {x[0] for side in (wrapper, page) for x in side if isinstance(x[0], tuple)}
     left, right = expanded(wrapper, units), expanded(page, units)
     slots = 1 + max((s for x in left for leaf in x[1] for s in leaf), default=-1)
     out, where = [], {}
-    match = difflib.SequenceMatcher(None, [repr(x[0]) for x in left], [repr(x[0]) for x in right], autojunk=len(right) > 2_000)
-    for op, a, b, c, d in match.get_opcodes():
+    for op, a, b, c, d in Blocks([repr(x[0]) for x in left], [repr(x[0]) for x in right]).get_opcodes():
         if op == "equal":
             for x, y in zip(left[a:b], right[c:d]):
                 out.append((x[0], x[1], x[2] or (len(y) > 2 and y[2])))

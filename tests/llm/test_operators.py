@@ -388,6 +388,24 @@ def test_templates_are_shares_of_distinct_pages(spark):
     assert all(got[200 + i] == f"own {i}" + ("\nmissing once" if i == 7 else "") for i in range(40))
 
 
+def test_long_pages_align_by_the_rule_of_short_ones():
+    rng = random.Random(4)
+    for n in (0, 1, 7, 60, 300):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randint(n // 2, n))] for _ in "ab")
+        a[5:5] = b[2:40]
+        plain = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert wrappers.Blocks(a, b).get_opcodes() == plain.get_opcodes()
+        for lo, hi in ((0, 0), (1, 5), (n // 4, n // 2)):
+            lo_a, hi_a, lo_b, hi_b = (min(k, len(x)) for x in (a, b) for k in (lo, hi))
+            assert wrappers.longest(a, lo_a, hi_a, b, lo_b, hi_b) == plain.find_longest_match(lo_a, hi_a, lo_b, hi_b)
+    # items that a page repeats: all stay common, however long the page is
+    words = [f"<div.{rng.choice('pqrst')}" for _ in range(2_500)]
+    page = [(x, ()) for x in words]
+    for n in (1_500, 2_500):
+        grown, _ = wrappers.align(wrappers.plain([*page[:n], ("<nav", ())]), [("<nav", ()), *page[:n]])
+        assert [x[0] for x in grown if not x[2]] == words[:n]
+
+
 def test_wrapper_alignment():
     read = lambda page: wrappers.items_of(wrappers.read(page)[0])
     a, b, c = read("<ul><div>x</div><div>y</div></ul><p>z"), read("<ul><div>x</div></ul><section>q</section><p>z"), read("<ul></ul><p>z")
