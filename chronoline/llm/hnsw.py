@@ -1,23 +1,28 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors collapse to one class. Classes are dealt to shards by hash, each shard builds one graph, and every class
-queries every shard in blocks. A beam that comes back full of links is widened for its query until it ends in
-vectors below the threshold. Each block is audited against all vectors of the shard: hash-chosen queries, AUDITED at a
-time, until AUDITED of them have links other than to themselves or AUDIT_MOST were looked at. The recall of each
-audited query counts alike, so that a large group of copies does not hide what is lost of small ones. Below AUDIT the
-block's beam doubles, up to the whole shard; the audited queries alone find that beam, then all are searched with it.
-A block whose audit has no link at all has nothing to lose by it and keeps its beam. The measured recall is in the
-result if `with_recall` is set.
-
-Links are confirmed by the cosine in double precision; each task emits link counts and a spanning forest, never pairs,
-and the forests are joined by connected components.
-
-Shards are SHARDS, or as many as keep a shard within SHARD vectors, whichever is more, and blocks hold about BLOCK
-queries. A task holds one shard's graph (vectors as wide as the column has them, links of 32 bits), one block and
-ROOM bytes of each working array; graphs travel in rows of PIECE bytes, and hits are confirmed, counted and reduced to a
-forest as they are found, so no array grows with a group of copies or with the table. Vectors of different dimensions link with nothing of another dimension. Null, empty or zero
-vectors and those with null or non-finite components link with nothing. Repeated rows count as separate vectors with
-the same vec_id; an empty table gives an empty result; extra columns are ignored.
+Equal vectors collapse to one class. Classes are dealt to shards by hash. Each shard builds one graph: LEADERS times the
+square root of its classes, chosen by hash and none within reach of a common link of another, are linked in layers, and
+below the last layer every class hangs on its HOMES nearest leaders, in their cells. A query's beam runs down the layers
+and ends in the nearest leaders, whose cells are compared whole, a cell with all queries that came to it by matrix
+products; a class met in several cells of a beam counts once.
+Shards search in pairs, each pair once: the queries of one in the graph of the other, links count for both ends.
+
+Each pair is audited against all vectors of the shard: hash-chosen queries, AUDITED at a time, until AUDITED of them
+have links other than to themselves or AUDIT_MOST were looked at. The recall of each audited query counts alike, so that
+a large group of copies does not hide what is lost of small ones. Below AUDIT the pair's beam doubles, up to all cells;
+the audited queries alone find that beam, then all are searched with it. A pair whose audit has no link at all has
+nothing to lose by it and keeps its beam. The measured recall is in the result if `with_recall` is set.
+
+Links are those of the cosine in double precision: what the product in single precision leaves in doubt, by the bound of
+its error, is computed again. Each task emits link counts and a spanning forest, never pairs, and the forests are
+joined by connected components.
+
+Shards are SHARDS, or as many as keep a shard's vectors within SHARD bytes, whichever is more. A task holds one shard's
+graph (vectors as wide as the column has them and in single precision), the queries of another and ROOM bytes of each
+working array; graphs travel in rows of PIECE bytes, and hits are counted and reduced to a forest as they are found, so
+no array grows with a group of copies or with the table. Vectors of different dimensions link with nothing of another
+dimension. Null, empty or zero vectors and those with null or non-finite components link with nothing. Repeated rows
+count as separate vectors with the same vec_id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoline.llm.shared import MIX, connected_components, drop_settled, find_roots, mix64, settle, spread_join, trim
+from chronoline.llm.shared import MIX, connected_components, drop_settled, find_roots, mix64, release, settle, spread_join, trim
 
-SHARDS, SHARD, BLOCK, DEGREE, BEAM, AUDIT, AUDITED, AUDIT_MOST, WAYS = 8, 65_536, 16_384, 12, 48, 0.995, 48, 1_536, 4
+SHARDS, SHARD, LEADERS, HOMES, DEGREE, BEAM, AUDIT, AUDITED, AUDIT_MOST, WAYS = 5, 20 << 20, 3, 4, 12, 16, 0.995, 48, 1_536, 4
+#: Leaders with a cosine of APART are one: for links of 0.95, two vectors that may link with the same third.
+APART = 0.805
 #: Bytes of a working array and of a row that holds a piece of a graph; edges that a task holds before it reduces them.
 ROOM, PIECE, EDGES = 32 << 20, 1 << 20, 1 << 18
 
@@ -98,27 +105,58 @@ def x_bytes(x: np.ndarray) -> int:
 
 
 class Graph:
-    """Layers of links over unit vectors x; layer 0 holds all nodes, each higher layer the first of them."""
+    """Layers of links over leaders, each higher layer the first of them, and all unit vectors x in the cells of their nearest leaders, the homes."""
 
     def __init__(self, x: np.ndarray, names: np.ndarray):
-        u = (mix64(names.astype(np.uint64) * MIX + MIX) >> np.uint64(11)).astype(float) / 2**53
-        level = np.minimum((-np.log(np.maximum(u, 1e-12)) / np.log(DEGREE)).astype(int), 8)
-        self.order = np.lexsort((names, -level))
+        some = np.lexsort((names, mix64(names.astype(np.uint64) * MIX + MIX)))[: int(np.ceil(LEADERS * len(x) ** 0.5))]
+        self.leaders = self._apart(x[some])
+        homes = np.empty((len(x), min(HOMES, len(self.leaders))), np.int32)
+        step = max(16, ROOM // (16 * len(self.leaders)))
+        for lo in range(0, len(x), step):
+            far = -(x[lo : lo + step] @ self.leaders.T)
+            near = np.argpartition(far, homes.shape[1] - 1, axis=1)[:, : homes.shape[1]]
+            homes[lo : lo + step] = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
+        self.order = np.lexsort((names, homes[:, 0]))
         self.x = np.ascontiguousarray(x[self.order])
-        level = level[self.order]
-        self.layers: list[np.ndarray] = []
-        for k in range(int(level[0]) if len(level) else 0, -1, -1):
-            self.layers.append(self._layer(int((level >= k).sum()), 2 * DEGREE if k == 0 else DEGREE))
+        self._settle(homes[self.order])
+        sizes = [len(self.leaders)]
+        while sizes[0] > DEGREE:
+            sizes.insert(0, sizes[0] // DEGREE)
+        self.layers = []
+        for n in sizes:
+            self.layers.append(self._layer(n, 2 * DEGREE if n == sizes[-1] else DEGREE))
 
     @classmethod
-    def of(cls, x: np.ndarray, layers: list[np.ndarray]) -> Graph:
+    def of(cls, x: np.ndarray, leaders: np.ndarray, homes: np.ndarray, layers: list[np.ndarray]) -> Graph:
         """A graph that was built before, of the same vectors in its own order."""
         graph = cls.__new__(cls)
-        graph.x, graph.layers = x, layers
+        graph.x, graph.leaders, graph.layers = x, leaders, layers
+        graph._settle(homes)
         return graph
 
+    def _settle(self, homes: np.ndarray) -> None:
+        """Who lives in each cell: vectors whose first home it is, in a row, and guests from others."""
+        every = np.arange(len(self.leaders) + 1)
+        self.homes, self.starts = homes, np.searchsorted(homes[:, 0], every)
+        away = homes[:, 1:].ravel()
+        order = np.argsort(away, kind="stable")
+        self.guests, self.guest_starts = (order // max(1, homes.shape[1] - 1)).astype(np.int32), np.searchsorted(away[order], every)
+
+    @staticmethod
+    def _apart(x: np.ndarray) -> np.ndarray:
+        """The vectors of x without those near to one before that stays."""
+        kept = x[:0]
+        for lo in range(0, len(x), 256):
+            new = x[lo : lo + 256]
+            new = new[~(new @ kept.T >= APART).any(1)] if len(kept) else new
+            near, stays = np.tril(new @ new.T >= APART, -1), np.ones(len(new), bool)
+            for i in np.flatnonzero(near.any(1)):
+                stays[i] = not (near[i] & stays).any()
+            kept = np.concatenate([kept, new[stays]])
+        return kept
+
     def _layer(self, n: int, degree: int) -> np.ndarray:
-        x, links = self.x, np.full((n + 1, degree), -1, np.int32)
+        x, links = self.leaders, np.full((n + 1, degree), -1, np.int32)
         done = min(n, 256)
         s = x[:done] @ x[:done].T
         np.fill_diagonal(s, -2)
@@ -153,46 +191,93 @@ class Graph:
         lo = hi = 0
         while hi < len(nodes):  # the most wanted nodes first, so that few of them share a wide array
             width = int(count[hi])
-            lo, hi = hi, hi + min(2048, max(1, ROOM // (2 * x_bytes(self.x) * (degree + width))))
+            lo, hi = hi, hi + min(2048, max(1, ROOM // (2 * x_bytes(self.leaders) * (degree + width))))
             a, c = nodes[lo:hi], count[lo:hi]
             at = first[lo:hi, None] + np.arange(width)
             more = np.where(np.arange(width) < c[:, None], back[np.minimum(at, len(back) - 1)], -1)
             more[(more[:, :, None] == links[a][:, None, :]).any(2)] = -1
             ids = np.concatenate([links[a], more], 1)
-            sims = np.einsum("nd,nkd->nk", self.x[a], self.x[ids])
+            sims = np.einsum("nd,nkd->nk", self.leaders[a], self.leaders[ids])
             sims[ids < 0] = -2
             order = np.argsort(-sims, axis=1, kind="stable")[:, : 4 * degree]
-            links[a] = choose(self.x, a, np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), degree)
+            links[a] = choose(self.leaders, a, np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), degree)
 
-    def _entry(self, q: np.ndarray, within: int | None = None) -> np.ndarray:
-        at = np.zeros((len(q), 1), int)
-        for links in self.layers:
-            at = beam_search(self.x[: len(links)], links, q, at, 4)[0][:, :4]
-        return at if within is None else np.where(at < within, at, -1)
+    def _entry(self, q: np.ndarray, within: int) -> np.ndarray:
+        at = self._descend(q, self.layers)
+        return np.where(at < within, at, -1)
 
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def _descend(self, q: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
         at = np.zeros((len(q), 1), int)
-        for links in self.layers[:-1]:
-            at = beam_search(self.x[: len(links)], links, q, at, 4)[0][:, :4]
-        return beam_search(self.x, self.layers[-1], q, at, min(beam, len(self.x)))
+        for links in layers:
+            at = beam_search(self.leaders[: len(links)], links, q, at, 4)[0]
+        return at
+
+    def cells(self, q: np.ndarray, beam: int) -> np.ndarray:
+        """The `beam` nearest leaders of each query that its beam finds, -1 where fewer."""
+        out, step = np.empty((len(q), beam), np.int32), max(16, min(512, ROOM // len(self.leaders)))
+        for lo in range(0, len(q), step):
+            part = q[lo : lo + step]
+            out[lo : lo + step] = beam_search(self.leaders, self.layers[-1], part, self._descend(part, self.layers[:-1]), beam)[0]
+        return out
+
+    def met(self, cell: int) -> np.ndarray:
+        """The nodes of a cell, guests last."""
+        return np.concatenate([np.arange(self.starts[cell], self.starts[cell + 1]), self.guests[self.guest_starts[cell] : self.guest_starts[cell + 1]]])
+
+    def compare(self, q: np.ndarray, rows: np.ndarray, nodes: np.ndarray, low: np.float32, cell: int = 0, cells: np.ndarray | None = None):
+        """Parts of (row, node, similarity) of similarity >= low between rows of q and nodes.
+
+        With the cells that each row's beam found, nodes are those of `cell`; one counts in the first of its homes among them."""
+        wide = max(1, ROOM // (4 * x_bytes(self.x)))
+        for some in (nodes[lo : lo + wide] for lo in range(0, len(nodes), wide)):
+            x, step = self.x[some].T, max(1, min(wide, ROOM // 64 // len(some)))
+            for lo in range(0, len(rows), step):
+                sims = (q[rows[lo : lo + step]] @ x).ravel()
+                hit = np.flatnonzero(sims >= low)
+                row, node = lo + hit // len(some), some[hit % len(some)]
+                if cells is not None and len(hit):
+                    first = self._first(cells, row, node, cell)
+                    hit, row, node = hit[first], row[first], node[first]
+                if len(hit):
+                    yield rows[row], node, sims[hit]
+
+    def _first(self, cells: np.ndarray, row: np.ndarray, node: np.ndarray, cell: int) -> np.ndarray:
+        """Whether no home of a node before the cell is among the cells of a row."""
+        out = self.homes[node, 0] == cell
+        away, step = np.flatnonzero(~out), max(1, ROOM // (8 * cells.shape[1]))
+        for lo in range(0, len(away), step):
+            at = away[lo : lo + step]
+            homes, mine = self.homes[node[at]], cells[row[at]]
+            met, before = np.zeros(len(at), bool), np.ones(len(at), bool)
+            for k in range(homes.shape[1]):
+                before &= homes[:, k] != cell
+                met |= before & (mine == homes[:, k, None]).any(1)
+            out[at] = ~met
+        return out
 
 
 def _search(graph: Graph, q: np.ndarray, rows: np.ndarray, low: np.float32, beam: int):
-    """Pairs (row, node) of similarity >= low that beams find, in parts; a beam more than three quarters full of them is widened."""
-    n = len(graph.x)
-    left, wide = rows, min(beam, n)
-    while len(left):
-        full = [np.zeros(0, np.int64)]
-        step = max(16, min(2048 * BEAM // wide, ROOM // n))
-        for lo in range(0, len(left), step):
-            part = left[lo : lo + step]
-            ids, sims = graph.search(q[part], wide)
-            hit = (sims >= low) & (ids >= 0)
-            again = (hit.sum(1) > wide * 3 // 4) & (wide < n)
-            r, c = np.nonzero(hit & ~again[:, None])
-            yield part[r], ids[r, c]
-            full.append(part[again])
-        left, wide = np.concatenate(full), min(4 * wide, n)
+    """Parts of (row, node, similarity) of similarity >= low in the cells that beams find; all cells where the beam is no less."""
+    n = len(graph.leaders)
+    step = max(16, ROOM // (16 * beam))
+    for lo in range(0, len(rows), step):
+        part = rows[lo : lo + step]
+        if beam >= n:
+            for at in range(0, len(graph.x), 1024):
+                yield from graph.compare(q, part, np.arange(at, min(at + 1024, len(graph.x))), low)
+            continue
+        cells = graph.cells(q[part], beam)
+        order = np.argsort(cells, axis=None, kind="stable")
+        first, order = np.searchsorted(cells.ravel()[order], np.arange(n + 1)), order // beam
+        for cell in range(n):
+            some = order[first[cell] : first[cell + 1]]
+            yield from graph.compare(q, part[some], graph.met(cell), low, cell, cells[some])
+
+
+def _low(threshold: float, x: np.ndarray) -> tuple[np.float32, np.float32]:
+    """Below the first no product in single precision is a link, from the second on each is; the error bound is doubled."""
+    doubt = (x.shape[1] + 16) * 2.0**-23
+    return np.float32(threshold - max(1e-3, doubt)), np.float32(threshold + doubt)
 
 
 def audit_of(graph: Graph, q: np.ndarray, own: np.ndarray, low: np.float32) -> tuple[np.ndarray, np.ndarray]:
@@ -221,10 +306,10 @@ def beam_of(graph: Graph, q: np.ndarray, low: np.float32, own: np.ndarray) -> tu
     beam = BEAM
     while True:
         got = np.zeros(true.shape, bool)
-        for who, what in _search(graph, q, rows, low, beam):
+        for who, what, _ in _search(graph, q, rows, low, beam):
             got[place[who], what] = True
         recall = float(((got & true).sum(1) / np.maximum(1, true.sum(1))).mean()) if len(rows) else 1.0
-        if recall >= AUDIT or beam >= len(graph.x):
+        if recall >= AUDIT or beam >= len(graph.leaders):
             return beam, recall, len(rows)
         beam *= 2
 
@@ -232,9 +317,10 @@ def beam_of(graph: Graph, q: np.ndarray, low: np.float32, own: np.ndarray) -> tu
 def linked(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Pairs (query, node of the graph's order) that the audited search finds, the mean recall of the audited queries
     with links (1 if none has any), and how many those are."""
-    low = np.float32(threshold - 1e-3)
+    low = _low(threshold, q)[0]
     beam, recall, audited = beam_of(graph, q, low, np.full(len(q), -1) if own is None else own)
-    who, what = (np.concatenate(x) for x in zip(*_search(graph, q, np.arange(len(q)), low, beam)))
+    hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *(x[:2] for x in _search(graph, q, np.arange(len(q)), low, beam))]
+    who, what = (np.concatenate(x) for x in zip(*hits))
     return who, what, recall, audited
 
 
@@ -269,21 +355,33 @@ def _trimmed(run, *tables: pa.Table) -> pa.Table:
 def _build(table: pa.Table) -> pa.Table:
     raw, names, weight = _matrix(table), table.column("vec_id").to_numpy(), table.column("weight").to_numpy()
     graph = Graph(_unit32(raw), names)
-    held = memoryview(pickle.dumps((graph.layers, raw[graph.order], names[graph.order], weight[graph.order]), protocol=5))
-    pieces = [held[lo : lo + PIECE] for lo in range(0, len(held), PIECE)]
+    apart: list[pickle.PickleBuffer] = []
+    small = pickle.dumps((graph.leaders, graph.homes, graph.layers, raw[graph.order], names[graph.order], weight[graph.order]), protocol=5, buffer_callback=apart.append)
+    del raw, graph
+    views = [memoryview(small), *(x.raw() for x in apart)]
+    views = [memoryview(np.array([len(views), *map(len, views)], np.int64)).cast("B"), *views]
+    pieces = [view[lo : lo + PIECE] for view in views for lo in range(0, len(view), PIECE)]
     same = lambda c: table.column(c).combine_chunks().take(pa.array([0] * len(pieces)))
     return pa.table({"dim": same("dim"), "shard": same("shard"), "piece": pa.array(range(len(pieces)), pa.int32()), "graph": pa.array(pieces, pa.binary())})
 
 
 def _load(table: pa.Table) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    """The graph of its pieces in any order, its vectors as the column had them, their names and weights."""
-    held = b"".join(table.sort_by("piece").column("graph").to_pylist())
-    layers, raw, names, weight = pickle.loads(held)
-    return Graph.of(_unit32(raw), layers), raw, names, weight
+    """The graph of its pieces in any order, its vectors as the column had them, their names and weights; copied once."""
+    pieces = [x.as_buffer() for x in table.column("graph")]
+    pieces = [pieces[i] for i in np.argsort(table.column("piece").to_numpy())]
+    held, at = np.empty(sum(x.size for x in pieces), np.uint8), 0
+    for x in pieces:
+        held[at : at + x.size] = np.frombuffer(x, np.uint8)
+        at += x.size
+    many = int(held[:8].view(np.int64)[0])
+    ends = 8 * (many + 1) + np.cumsum([0, *held[8 : 8 * (many + 1)].view(np.int64)])
+    small, *apart = (held[lo:hi].data for lo, hi in zip(ends[:-1], ends[1:]))
+    leaders, homes, layers, raw, names, weight = pickle.loads(small, buffers=apart)
+    return Graph.of(_unit32(raw), leaders, homes, layers), raw, names, weight
 
 
 def _emitted(a, b, n, recall, audited) -> pa.Table:
-    """Rows of one of three kinds: (a, n) a query's links, (a, b) an edge of the forest, (recall, audited) of the block."""
+    """Rows of one of three kinds: (a, n) links of a, (a, b) an edge of the forest, (recall, audited) of the block."""
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()), "recall": pa.array(recall, pa.float64()), "audited": pa.array(audited, pa.int64())})
 
 
@@ -301,30 +399,41 @@ def _query(threshold: float):
         if not left.num_rows or not right.num_rows:
             return _emitted([], [], [], [], [])
         graph, x, names, weight = _load(right)
-        raw, own = _matrix(left), left.column("vec_id").to_numpy()
+        asked, own = left.column("v"), left.column("vec_id").to_numpy()
+        # of a shard with itself every link is found from both ends, of two shards from one
+        pair = "block" in left.column_names and left.column("block")[0] != left.column("shard")[0]
+        weight, own_weight = weight.astype(float), left.column("weight").to_numpy().astype(float) if pair else None
         order = np.argsort(names, kind="stable")
         at = order[np.minimum(np.searchsorted(names, own, sorter=order), len(names) - 1)]
-        q, low = _unit32(raw), np.float32(threshold - 1e-3)
+        q, (low, sure) = _unit32(_matrix(left)), _low(threshold, x)
         beam, recall, audited = beam_of(graph, q, low, np.where(names[at] == own, at, -1))
-        count, many = np.zeros(len(q)), max(1, ROOM // (4 * 8 * x.shape[1]))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for who, what in _search(graph, q, np.arange(len(q)), low, beam):
+        count, back, many = np.zeros(len(q)), np.zeros(len(names)), max(1, ROOM // (4 * 8 * x.shape[1]))
+        root, a, b = np.arange(len(q) + len(names)), [], []
+        for who, what, sims in _search(graph, q, np.arange(len(q)), low, beam):
             ok = own[who] != names[what]
+            doubt = np.flatnonzero(ok & (sims < sure))
+            for lo in range(0, len(doubt), many):
+                d = doubt[lo : lo + many]
+                ok[d] = np.einsum("nd,nd->n", _unit(_matrix(pa.table({"v": asked.take(pa.array(who[d]))}))), _unit(x[what[d]])) >= threshold
             who, what = who[ok], what[ok]
-            for lo in range(0, len(who), many):
-                w, t = who[lo : lo + many], what[lo : lo + many]
-                ok = np.einsum("nd,nd->n", _unit(raw[w]), _unit(x[t])) >= threshold
-                w, t = w[ok], t[ok]
-                count += np.bincount(w, weights=weight[t], minlength=len(q))
-                a.append(own[w])
-                b.append(names[t])
-                if sum(map(len, a)) > len(a[0]) + EDGES:
-                    a, b = ([e] for e in _tree(a, b))
-        a, b = _tree(a, b)
-        count = count.astype(np.int64)
-        some, edges = np.flatnonzero(count > 0), len(a)
-        none = [None] * len(some)
-        return _emitted([*own[some], *a, None], [*none, *b, None], [*count[some], *[None] * edges, None], [*none, *[None] * edges, recall], [*none, *[None] * edges, audited])
+            if not len(who):
+                continue
+            np.add.at(count, who, weight[what])
+            if pair:
+                np.add.at(back, what, own_weight[who])
+            new = root[who] != root[len(q) + what]
+            a.append(root[who[new]])
+            b.append(root[len(q) + what[new]])
+            if sum(map(len, a)) > EDGES:
+                root, a, b = find_roots(np.concatenate(a), np.concatenate(b), len(root))[root], [], []
+        if a:
+            root = find_roots(np.concatenate(a), np.concatenate(b), len(root))[root]
+        both, moved = np.concatenate([own, names]), np.flatnonzero(root != np.arange(len(root)))
+        a, b = _tree([both[moved]], [both[root[moved]]])
+        some, other = np.flatnonzero(count > 0), np.flatnonzero(back > 0)
+        linked_ids, n = np.concatenate([own[some], names[other]]), np.concatenate([count[some], back[other]]).astype(np.int64)
+        edges, none = len(a), [None] * len(n)
+        return _emitted([*linked_ids, *a, None], [*none, *b, None], [*n, *[None] * edges, None], [*none, *[None] * edges, recall], [*none, *[None] * edges, audited])
 
     return run
 
@@ -332,7 +441,7 @@ def _query(threshold: float):
 def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", with_recall: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept): links of cosine >= threshold between all vectors.
 
-    with_recall adds audited_recall, the least recall that the audit of a block and shard has ended with (1 if no
+    with_recall adds audited_recall, the least recall that the audit of a pair of shards has ended with (1 if no
     audited query has links), and audited, the number of audited queries with links; both are alike in all rows.
     """
     kind = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
@@ -341,15 +450,16 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, key: str = "vec_id",
     fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = settle(df.select(F.col(key).cast("long").alias("vec_id"), F.when(fine, v).alias("v")).select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")).alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")))
     fine_rows = rows.where("v is not null and vec_id is not null")
-    classes = settle(fine_rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    classes = settle(fine_rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.max(F.size("v")).alias("dim")))
     reps = fine_rows.join(classes, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"])
-    n = classes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD)), max(1, -(-n // BLOCK))
-    reps = settle(reps.select("vec_id", "v", "weight", F.size("v").alias("dim"), F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod("h2", F.lit(blocks)).cast("int").alias("block")))
+    held = (classes.agg(F.sum("dim")).first()[0] or 0) * (4 if kind == "float" else 8)
+    shards = max(SHARDS, -(-held // SHARD))
+    reps = settle(reps.select("vec_id", "v", "weight", "dim", F.pmod("h1", F.lit(shards)).cast("int").alias("shard")))
     graphs = settle(reps.groupBy("dim", "shard").applyInArrow(lambda table: _trimmed(_build, table), "dim int, shard int, piece int, graph binary"))
-    asked = reps.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("vec_id", "v", "dim", "shard", "block")
-    dealt = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = reps.withColumnRenamed("shard", "block").withColumn("shard", F.explode(F.sequence(F.lit(0), "block")))
+    dealt = graphs.withColumn("block", F.explode(F.sequence("shard", F.lit(shards - 1))))
     by, query = ["dim", "shard", "block"], _query(threshold)
+    release(df.sparkSession)
     found = settle(asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(lambda left, right: _trimmed(query, left, right), "a long, b long, n long, recall double, audited long"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))

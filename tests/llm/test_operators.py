@@ -157,6 +157,24 @@ def test_a_shard_keeps_little_in_memory(monkeypatch):
     assert {(a, b) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist()) if b is not None} == {(k, 0) for k in range(1, 900)}
 
 
+def test_two_shards_are_searched_once_for_both_ends(monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(400, 24))
+    x = np.concatenate([centres[i // 10] + 0.1 * rng.normal(size=24) for i in range(4000)] + [rng.normal(size=24) for _ in range(4000)]).reshape(-1, 24).astype(np.float32)
+    ids, weight = rng.permutation(8000), rng.integers(1, 4, 8000)
+    half = lambda k, shard, block: pa.table({"vec_id": ids[k::2], "v": pa.array([list(v) for v in x[k::2]], pa.list_(pa.float32())), "weight": weight[k::2], "dim": np.full(4000, 24, np.int32), "shard": np.full(4000, shard, np.int32), "block": np.full(4000, block, np.int32)})
+    searched, beam_search = [], hnsw.beam_search
+    monkeypatch.setattr(hnsw, "beam_search", lambda x, links, q, *rest: searched.append(len(q)) or beam_search(x, links, q, *rest))
+    pieces = hnsw._build(half(0, 0, 0))
+    assert sum(searched) < 4000  # only leaders are linked, not every vector
+    out = hnsw._query(0.95)(half(1, 0, 1), pieces)
+    got = {a: n for a, n in zip(out.column("a").to_pylist(), out.column("n").to_pylist()) if n is not None}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = unit[1::2] @ unit[0::2].T >= 0.95
+    expected = {**dict(zip(ids[1::2], link @ weight[0::2])), **dict(zip(ids[0::2], weight[1::2] @ link))}
+    assert all(n <= expected[a] for a, n in got.items()) and sum(got.values()) >= 0.99 * sum(expected.values()) > 10_000
+
+
 def test_audit_ignores_the_query_itself_and_queries_without_links():
     x = np.random.default_rng(1).normal(size=(3000, 24)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
